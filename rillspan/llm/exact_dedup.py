@@ -67,7 +67,8 @@ def exact_dedup(
     candidates = (
         digests.select(F.hex("digest").alias("hex"))
         .stat.freqItems(["hex"], support)
-        .select(F.unhex(F.explode("hex_freqItems")).alias("digest"))
+        .select(F.explode("hex_freqItems").alias("hex"))
+        .select(F.unhex("hex").alias("digest"))
         .distinct()
     )
     least = digests.agg(F.greatest(F.lit(2), F.ceil(F.count("*") * support)).alias("least"))
