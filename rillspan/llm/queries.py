@@ -6,12 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillspan.llm.exact_dedup import exact_dedup
+from rillspan.llm.packing import best_fit_packing
+from rillspan.llm.token_counts import token_counts
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, closing=1)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
+    return counted.withColumnRenamed("id", "doc_id")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"),
@@ -33,6 +52,8 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
 }
 
