@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rillspan.llm.exact_dedup import exact_dedup
 from rillspan.llm.mixing import mix_sources
 from rillspan.llm.packing import best_fit_packing
+from rillspan.llm.simhash import simhash_groups
 from rillspan.llm.token_counts import token_counts
 
 
@@ -47,6 +48,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash_groups(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return grouped.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
+
+
 OP4_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''),
@@ -58,6 +64,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 QUERIES = {
+    "op6_simhash": op6_simhash,
     "op5_mixing": op5_mixing,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_counts": op3_token_counts,
