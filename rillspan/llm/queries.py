@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from rillspan.llm.exact_dedup import exact_dedup
 from rillspan.llm.mixing import mix_sources
 from rillspan.llm.packing import best_fit_packing
+from rillspan.llm.quality import quality_scores
 from rillspan.llm.simhash import simhash_groups
 from rillspan.llm.token_counts import token_counts
+from rillspan.llm.toxicity import toxicity_scores
 
 
 def vocabulary(name: str) -> str:
@@ -28,6 +30,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held=0, threshold=0.3)
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
     return counted.withColumnRenamed("id", "doc_id")
@@ -53,6 +60,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held=2, threshold=0.3)
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 OP4_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''),
@@ -64,6 +76,8 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 QUERIES = {
+    "op2_quality": op2_quality,
+    "op7_toxicity": op7_toxicity,
     "op6_simhash": op6_simhash,
     "op5_mixing": op5_mixing,
     "op1_best_fit_packing": op1_best_fit_packing,
