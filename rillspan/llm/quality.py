@@ -165,7 +165,7 @@ def quality_scores(
                 part = batch.slice(lo, 256)
                 score = model.score(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("id"), part.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
+                    [part.column("row"), part.column("id"), part.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))],
                     ["row", "id", "held_out", "score", "predicted"],
                 )
 

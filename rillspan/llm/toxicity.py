@@ -218,7 +218,7 @@ def toxicity_scores(
                 part = batch.slice(lo, 256)
                 score = scorer.scores(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
+                    [part.column("id"), part.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))],
                     ["id", "held_out", "score", "predicted"],
                 )
 
