@@ -10,6 +10,7 @@ from rillspan.llm.mixing import mix_sources
 from rillspan.llm.packing import best_fit_packing
 from rillspan.llm.quality import quality_scores
 from rillspan.llm.simhash import simhash_groups
+from rillspan.llm.substring_dedup import substring_dedup
 from rillspan.llm.token_counts import token_counts
 from rillspan.llm.toxicity import toxicity_scores
 
@@ -65,6 +66,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("id", "doc_id")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup(table(spark, sf_dir, "documents"), window=20)
+    return cleaned.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 OP4_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''),
@@ -76,6 +82,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 QUERIES = {
+    "op10_substring_dedup": op10_substring_dedup,
     "op2_quality": op2_quality,
     "op7_toxicity": op7_toxicity,
     "op6_simhash": op6_simhash,
