@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillspan.llm.ann import nearest
 from rillspan.llm.exact_dedup import exact_dedup
 from rillspan.llm.mixing import mix_sources
 from rillspan.llm.packing import best_fit_packing
@@ -71,6 +72,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), query_every=20, k=20)
+
+
 OP4_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''),
@@ -82,6 +87,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 QUERIES = {
+    "op8_ann": op8_ann,
     "op10_substring_dedup": op10_substring_dedup,
     "op2_quality": op2_quality,
     "op7_toxicity": op7_toxicity,
