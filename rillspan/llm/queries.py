@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillspan.llm.ann import nearest
 from rillspan.llm.exact_dedup import exact_dedup
+from rillspan.llm.extraction import main_text
 from rillspan.llm.mixing import mix_sources
 from rillspan.llm.packing import best_fit_packing
 from rillspan.llm.quality import quality_scores
@@ -76,6 +77,10 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), query_every=20, k=20)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"), carry=("url",)).withColumnRenamed("id", "page_id")
+
+
 OP4_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''),
@@ -87,15 +92,16 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 QUERIES = {
-    "op8_ann": op8_ann,
-    "op10_substring_dedup": op10_substring_dedup,
-    "op2_quality": op2_quality,
-    "op7_toxicity": op7_toxicity,
-    "op6_simhash": op6_simhash,
-    "op5_mixing": op5_mixing,
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_mixing": op5_mixing,
+    "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
+    "op8_ann": op8_ann,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES = {
