@@ -99,3 +99,10 @@ def exact_dedup(
         (F.col("row") == F.col("winner.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("sha256"),
     )
+
+
+def unique_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows that stay, with all their columns; ``docs`` must be a plain scan."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    stay = exact_dedup(numbered, row_col="_row", **options).filter("kept").select(F.col("row").alias("_row"))
+    return numbered.join(stay, "_row", "left_semi").select(docs.columns)

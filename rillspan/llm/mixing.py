@@ -243,6 +243,34 @@ class Mix:
         return taken.select(columns).unionByName(self.empty.withColumn("taken", F.lit(0).cast("long")).select(columns))
 
 
+def mixed_documents(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mix as documents: every row as often as it is taken whole, then its words taken once more.
+
+    A row's further words, those of the blocks of a last, partial pass, make
+    one row whose words are joined by single spaces.  Rows keep their columns;
+    ``chars_col`` is set to the new length.  ``docs`` must be a plain scan.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    mix = Mix(numbered, text_col=text_col, row_col="_row", **options)
+    each = mix.parts().groupBy("row").agg(
+        F.min("full").alias("copies"), F.array_sort(F.collect_list(F.struct("lo", "hi", "full", "cut"))).alias("pieces")
+    )
+    # a block is taken at most once more than the document's least taken one
+    once = F.filter(
+        F.transform("pieces", lambda p: F.struct(p["lo"].alias("lo"), F.when(p["full"] > F.col("copies"), p["hi"]).otherwise(p["cut"]).alias("to"))),
+        lambda p: p["to"] > p["lo"],
+    )
+    plan = each.select("row", "copies", once.alias("once")).filter((F.col("copies") > 0) | (F.size("once") > 0))
+    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"))
+    cut = F.array_join(F.flatten(F.transform("once", lambda p: F.slice("_words", (p["lo"] + 1).cast("int"), (p["to"] - p["lo"]).cast("int")))), " ")
+    joined = numbered.join(plan, F.col("_row") == F.col("row"))
+    whole = joined.filter("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    part = joined.filter(F.size("once") > 0).withColumn("_words", words).withColumn(text_col, cut)
+    if chars_col and chars_col in docs.columns:
+        part = part.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return whole.select(docs.columns).unionByName(part.select(docs.columns))
+
+
 def mix_sources(df: DataFrame, **options) -> Mix:
     """Mix a table; see ``Mix`` for the options."""
     return Mix(df, **options)

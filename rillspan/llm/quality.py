@@ -149,8 +149,7 @@ def quality_scores(
     max_chars: int = 200_000,
 ) -> DataFrame:
     """``row, id, held_out, score, predicted`` for every document."""
-    texts, known = sample(docs, labels, label, folds, held, max_rows, max_chars, id_col, text_col)
-    model = QualityModel(texts, known, max_pairs, threshold)
+    model = train(docs, labels, label, id_col, text_col, folds, held, threshold, max_rows, max_pairs, max_chars)
     row = F.col(row_col) if row_col else F.lit(0)
     narrow = docs.select(
         row.cast("long").alias("row"),
@@ -171,3 +170,33 @@ def quality_scores(
 
     kind = narrow.schema["id"].dataType.simpleString()
     return narrow.mapInArrow(run, f"row long, id {kind}, held_out boolean, score double, predicted int")
+
+
+def train(docs, labels, label, id_col, text_col, folds, held, threshold, max_rows, max_pairs, max_chars) -> QualityModel:
+    return QualityModel(*sample(docs, labels, label, folds, held, max_rows, max_chars, id_col, text_col), max_pairs, threshold)
+
+
+def good_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    folds: int = 5,
+    held: int = 0,
+    threshold: float = 0.3,
+    max_rows: int = 12_000,
+    max_pairs: int = 200_000,
+    max_chars: int = 200_000,
+) -> DataFrame:
+    """The rows scored at or above the threshold, with all their columns, in one map."""
+    model = train(docs, labels, label, id_col, text_col, folds, held, threshold, max_rows, max_pairs, max_chars)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                yield part.filter(pa.array(model.score(part.column(at).to_pylist()) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

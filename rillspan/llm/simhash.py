@@ -174,3 +174,10 @@ def simhash_groups(
         F.col("first.id").alias("component_id"),
         (F.col("row") == F.col("first.row")).alias("kept"),
     )
+
+
+def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+    """One row of every group of near-duplicates, with all its columns; ``docs`` must be a plain scan."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    stay = simhash_groups(numbered, row_col="_row", **options).filter("kept").select(F.col("row").alias("_row"))
+    return numbered.join(stay, "_row", "left_semi").select(docs.columns)
