@@ -11,8 +11,6 @@
    list's, and enough of them to hold twice as many vectors as it asks for.
    The ratio is calibrated on the sample against brute force so that
    ``recall`` of the true neighbours lie in lists that are read.
-   No vector below the query's k-th best score within the sample can be among
-   its nearest, so none such is ever sent on.
 5. Lists are sharded by size, so a list that holds a third of all vectors is
    read by many tasks.  Each shard keeps a query's best; shards are merged.
 
@@ -209,7 +207,7 @@ def nearest(
     vec_col: str = "embedding",
     query_every: int = 20,
     k: int = 20,
-    list_size: int = 400,
+    lists_per_root: float = 0.25,
     max_lists: int = 8192,
     sample_rows: int = 20_000,
     replicas: int = 4,
@@ -229,10 +227,9 @@ def nearest(
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     most = rows.agg(F.max(norm)).first()[0]
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
-    x, known = matrix(sample.column("v")), sample.column("id").to_numpy()
-    known, one = np.unique(known, return_index=True)
-    x = x[one]
-    lists = max(1, min(max_lists, len(x) // 8 or 1, -(-n // list_size)))
+    x = matrix(sample.column("v"))
+    # few, long lists: what a query's lists send on grows with their number
+    lists = max(1, min(max_lists, len(x) // 8, round(lists_per_root * n**0.5)))
     index = ListIndex(x, most, lists, replicas, closure, k, recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,33 +257,26 @@ def nearest(
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                q, least = matrix(part.column("v")), np.full(part.num_rows, -np.inf)
-                if len(known) > k + 1:
-                    score = q @ x.T
-                    score[part.column("id").to_numpy()[:, None] == known] = -np.inf
-                    least = np.partition(score, len(known) - k, axis=1)[:, len(known) - k]
-                    least -= 1e-9 * (1 + abs(least))
-                found = [(row, int(c), s) for row, own in enumerate(index.probes(q, k)) for c in own for s in range(index.shards[c])]
+                found = [(row, int(c), s) for row, own in enumerate(index.probes(matrix(part.column("v")), k)) for c in own for s in range(index.shards[c])]
                 row, list_, shard = zip(*found, strict=True) if found else ((), (), ())
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list_, pa.int64()), pa.array(shard, pa.int64()), part.column("id").take(take), part.column("v").take(take), pa.array(least).take(take)],
-                    ["list", "shard", "query_id", "q", "least"],
+                    [pa.array(list_, pa.int64()), pa.array(shard, pa.int64()), part.column("id").take(take), part.column("v").take(take)],
+                    ["list", "shard", "query_id", "q"],
                 )
 
     queries = rows.filter(F.pmod("id", F.lit(query_every)) == 0).dropDuplicates(["id"])
-    asked = queries.mapInArrow(ask, "list long, shard long, query_id long, q array<double>, least double")
+    asked = queries.mapInArrow(ask, "list long, shard long, query_id long, q array<double>")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
             ids, vec = left.column("id").to_numpy(), matrix(left.column("v"))
-            own, ask_, least = right.column("query_id").to_numpy(), matrix(right.column("q")), right.column("least").to_numpy()
+            own, ask_ = right.column("query_id").to_numpy(), matrix(right.column("q"))
             for at in range(0, len(own), 256):
                 rough = ask_[at : at + 256] @ vec.T
                 for q in range(len(rough)):
-                    some = np.flatnonzero(rough[q] >= least[at + q])
-                    best, exact = _best(vec[some], ids[some], ask_[at + q], own[at + q], k, rough[q, some])
+                    best, exact = _best(vec, ids, ask_[at + q], own[at + q], k, rough[q])
                     out.append((np.full(len(best), own[at + q]), best, exact))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
