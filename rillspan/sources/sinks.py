@@ -125,7 +125,7 @@ def write_sessions(blobs: DataFrame, path: str, session: str, order: str, direct
     joined = rows.groupBy(*parts).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, data))), lambda x: x[data]), "").alias("value")
     )
-    joined.write.mode(mode).partitionBy(*parts).option("lineSep", "").text(path)
+    joined.write.mode(mode).partitionBy(*parts).text(path)
 
 
 def flow_lines(flows: DataFrame) -> DataFrame:
