@@ -23,6 +23,37 @@ def streams_of(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["data"]), "").alias("text"))
 
 
+def parse_request(raw: bytes) -> dict:
+    """A request's fields, separated by NULs: skip, begin, end, pattern.
+
+    An empty skip asks for completions.  Skip may be decimal, ``0x`` hexadecimal
+    or octal with a leading zero.  A missing separator raises ValueError.
+    """
+    parts = raw.split(b"\0", 3)
+    if len(parts) < 4:
+        raise ValueError("a request has four fields")
+    skip, begin, end, pattern = parts
+    out = {"begin": begin.decode("latin-1") or None, "end": end.decode("latin-1") or None, "pattern": pattern.decode("latin-1")}
+    if not skip:
+        return out | {"kind": "autocomplete"}
+    text = skip.decode("ascii")
+    number = int(text, 8) if len(text) > 1 and text[0] == "0" and text[1:].isdigit() else int(text, 0)
+    if number < 0:
+        raise ValueError("skip must not be negative")
+    return out | {"kind": "search", "skip": number}
+
+
+def answer(blobs: DataFrame, raw: bytes) -> DataFrame:
+    """The result rows of one request."""
+    request = parse_request(raw)
+    streams = streams_of(_chosen(blobs, None))
+    want = unescape(request["pattern"]).decode("latin-1")
+    within = {"begin": unescape(request["begin"]).decode("latin-1") if request["begin"] else None, "end": unescape(request["end"]).decode("latin-1") if request["end"] else None}
+    if request["kind"] == "autocomplete":
+        return ops.autocomplete(streams, want, **within)
+    return ops.search(streams, want, request["skip"], **within).withColumn("raw_len", F.lit(len(request["pattern"])))
+
+
 def _chosen(blobs: DataFrame, service: str | None) -> DataFrame:
     chosen = blobs if service is None else blobs.filter(F.col("service") == service)
     w = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)

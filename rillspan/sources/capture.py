@@ -164,6 +164,10 @@ def read_frames(spark: SparkSession, path: str, glob: str = "*.cap*", recursive:
     """Frames of every capture below a path, from any store that Spark reads; one file is one task's row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
 
+    return _frames_of(files)
+
+
+def _frames_of(files: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
@@ -179,6 +183,13 @@ def read_frames(spark: SparkSession, path: str, glob: str = "*.cap*", recursive:
     return files.select("path", "content").mapInPandas(run, FRAMES)
 
 
+def watch_frames(spark: SparkSession, path: str, glob: str = "*.cap*") -> DataFrame:
+    """Frames of captures as they are moved into a folder: a live source over rotated files."""
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", glob).load(path)
+    return _frames_of(files)
+
+
 def packets(frames_: DataFrame, strip: int = 0) -> DataFrame:
     """IP packets of frames; frames that cannot be read drop out."""
     names = [c.split()[0] for c in PACKETS.split(", ")]

@@ -128,6 +128,31 @@ def write_sessions(blobs: DataFrame, path: str, session: str, order: str, direct
     joined.write.mode(mode).partitionBy(*parts).text(path)
 
 
+def write_files(files: DataFrame, path: str, name: str = "name", data: str = "data", order: list[str] | None = None, mode: str = "errorifexists") -> DataFrame:
+    """Extracted files as a table of ``local_name, md5, size, data``; names are made safe and unique."""
+    from rillspan.functions.text import local_filename, unique_filenames
+
+    safe = files.withColumn("_safe", local_filename(F.col(name)))
+    named = unique_filenames(safe, "_safe", order or [name]).select(
+        "local_name", F.md5(data).alias("md5"), F.length(data).cast("long").alias("size"), F.col(data).cast("binary").alias("data")
+    )
+    named.write.mode(mode).parquet(path)
+    return files.sparkSession.read.parquet(path)
+
+
+def write_anonymised(packets: DataFrame, path: str, key: str, network: str = "10.0.0.0/8", mode: str = "errorifexists") -> None:
+    """Packets with mapped IPv4 addresses, and beside them the mapping as CSV."""
+    from rillspan.functions.net import anonymous_ip, int_to_ip, ip_to_int
+
+    ips = packets.select(F.col("sip").alias("ip")).unionByName(packets.select(F.col("dip").alias("ip"))).distinct()
+    number = ip_to_int(F.col("ip"))
+    mapping = ips.withColumn("mapped", F.coalesce(int_to_ip(anonymous_ip(number, key, network)), F.substring(F.sha1(F.concat(F.lit(key), F.col("ip"))), 1, 32)))
+    src, dst = (mapping.select(F.col("ip").alias(c), F.col("mapped").alias(f"_{c}")) for c in ("sip", "dip"))
+    out = packets.join(src, "sip", "left").join(dst, "dip", "left").withColumn("sip", F.col("_sip")).withColumn("dip", F.col("_dip")).select(packets.columns)
+    out.write.mode(mode).parquet(f"{path}/packets")
+    mapping.write.mode(mode).csv(f"{path}/mapping", header=True)
+
+
 def flow_lines(flows: DataFrame) -> DataFrame:
     """The fixed-width line of a flow record."""
     form = "%s  %15s -> %15s  %5s %6s %6s %5d %5d %7d %7d %-.4fs"
@@ -162,4 +187,4 @@ def coloured(direction: str, data: bytes, mode: str = "tty", hexadecimal: bool =
     return shown
 
 
-SINKS = {"text": write_text, "csv": write_csv, "json": write_json, "xml": write_xml, "jdbc": write_jdbc, "session": write_sessions}
+SINKS = {"text": write_text, "csv": write_csv, "json": write_json, "xml": write_xml, "jdbc": write_jdbc, "session": write_sessions, "files": write_files}

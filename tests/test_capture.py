@@ -145,3 +145,26 @@ def test_containers(spark, tmp_path):
     assert container.export(one, "locconn", 9).startswith("9\t1.2.3.4:1000")
     with pytest.raises(ValueError):
         container.export(one, "nope")
+
+
+def test_watched_captures(spark, tmp_path):
+    folder = tmp_path / "caps"
+    folder.mkdir()
+    (folder / "a.cap").write_bytes(capture.write_capture(records()))
+    seen = []
+    stream = capture.packets(capture.watch_frames(spark, str(folder)))
+    from rillspan.streaming.ingest import run_once
+
+    run_once(stream, lambda df, _: seen.append(df.count()), f"{tmp_path}/ckpt")
+    assert sum(seen) == len(TALK)
+
+
+def test_anonymised_packets(spark, blobs_of, tmp_path):
+    from rillspan.sources import sinks
+
+    packets, _ = blobs_of
+    sinks.write_anonymised(packets, str(tmp_path), "key")
+    got = spark.read.parquet(f"{tmp_path}/packets")
+    assert got.count() == packets.count() and got.columns == packets.columns
+    assert not {r.sip for r in got.collect()} & {"fe80::1", "fe80::2"}
+    assert spark.read.csv(f"{tmp_path}/mapping", header=True).count() == packets.selectExpr("explode(array(sip, dip)) ip").distinct().count()
