@@ -146,7 +146,7 @@ def quality_scores(
     threshold: float = 0.3,
     max_rows: int = 12_000,
     max_pairs: int = 200_000,
-    max_chars: int = 200_000,
+    max_chars: int = 30_000,
 ) -> DataFrame:
     """``row, id, held_out, score, predicted`` for every document."""
     model = train(docs, labels, label, id_col, text_col, folds, held, threshold, max_rows, max_pairs, max_chars)
@@ -187,7 +187,7 @@ def good_documents(
     threshold: float = 0.3,
     max_rows: int = 12_000,
     max_pairs: int = 200_000,
-    max_chars: int = 200_000,
+    max_chars: int = 30_000,
 ) -> DataFrame:
     """The rows scored at or above the threshold, with all their columns, in one map."""
     model = train(docs, labels, label, id_col, text_col, folds, held, threshold, max_rows, max_pairs, max_chars)

@@ -201,7 +201,7 @@ def toxicity_scores(
     held: int = 2,
     threshold: float = 0.3,
     max_rows: int = 12_000,
-    max_chars: int = 200_000,
+    max_chars: int = 30_000,
 ) -> DataFrame:
     """``id, held_out, score, predicted`` for every document."""
     model = train(docs, labels, label, id_col, text_col, folds, held, max_rows, max_chars)

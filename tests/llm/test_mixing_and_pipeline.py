@@ -84,28 +84,65 @@ def test_mixed_documents_hold_what_is_taken(spark, tmp_path):
         assert set(w) <= set(text[i]) and all(w.count(x) in (taken[i] // len(text[i]), taken[i] // len(text[i]) + 1) for x in text[i])
 
 
-def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    work, before = Work(spark, "test"), docs
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
-    counts = []
-    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        after = work.save(stage(spark, before, SF), f"s{n}")
-        counts.append(after.count())
-        if n < 3:
-            assert after.columns == docs.columns
-            # rows only go, none is changed
-            assert after.exceptAll(before).count() == 0
-        if name == "exact dedup":
-            folded = [r.text.lower() for r in after.collect()]
-            assert len(set(folded)) == len(folded)
-        if name == "mixing":
-            assert after.columns == docs.columns
-            assert {r.doc_id for r in after.collect()} <= {r.doc_id for r in before.collect()}
-        before = after
-    assert counts[0] <= docs.count() and counts[1] <= counts[0] and counts[2] <= counts[1]
-    out = corpus_pipeline.run(spark, SF)
-    assert out.count() == counts[-1]
-    full = {r[0]: r[1] for r in out.groupBy("sequence_id").sum("length").collect()}
-    assert max(full.values()) <= 4096
+def test_pipeline_against_a_plain_version(spark):
+    """Each stage's rows against the same decision made on the driver, one after the other."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from rillspan.llm.labelled import sample
+    from rillspan.llm.quality import QualityModel
+    from tests.llm.test_dedup import components, fingerprint, folded
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    work, outs, before = Work(spark, "test"), [], docs
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = work.save(stage(spark, before, SF), f"s{n}")
+        outs.append(before)
+    assert len(outs) == 5 and all(o.columns == docs.columns for o in outs[:4])
+    rows = {r.doc_id: tuple(r) for r in docs.collect()}
+
+    model = QualityModel(*sample(docs, labels, "quality", 5, 0, 12_000, 30_000), 200_000, 0.3)
+    plain = [i for i in sorted(rows) if model.score([rows[i][1]])[0] >= 0.3]
+    assert sorted(tuple(r) for r in outs[0].collect()) == [rows[i] for i in plain]
+
+    best = {folded(rows[i][1]): i for i in plain}  # the largest id comes last
+    plain = sorted(best.values())
+    assert sorted(tuple(r) for r in outs[1].collect()) == [rows[i] for i in plain]
+
+    roots = components([fingerprint(rows[i][1], 5) for i in plain], 6)
+    plain = [i for k, i in enumerate(plain) if roots[k] == k]
+    assert sorted(tuple(r) for r in outs[2].collect()) == [rows[i] for i in plain]
+
+    sizes, taken = {}, {}
+    for i in plain:
+        sizes[rows[i][3]] = sizes.get(rows[i][3], 0) + len(words(rows[i][1]))
+    mixed = outs[3].collect()
+    each = {}
+    for r in mixed:
+        taken[r.source] = taken.get(r.source, 0) + len(words(r.text))
+        each[r.doc_id] = each.get(r.doc_id, 0) + len(words(r.text))
+        assert r.source == rows[r.doc_id][3] and set(words(r.text)) <= set(words(rows[r.doc_id][1])) and r.n_chars == len(r.text)
+    for source, target in targets(sizes).items():
+        assert abs(taken.get(source, 0) - target) <= 1
+    assert all(n <= 3 * len(words(rows[i][1])) for i, n in each.items())
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = sorted((r.doc_id, len(library.encode(r.text, add_special_tokens=False).ids) + 1) for r in mixed)
+    pieces = outs[4].collect()
+    got = {}
+    for r in pieces:
+        got.setdefault(r.doc_id, []).append(r.length)
+    want = {}
+    for i, n in ids:
+        want[i] = want.get(i, 0) + n
+    assert {i: sum(x) for i, x in got.items()} == want
+    per_sequence = {}
+    for r in pieces:
+        per_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in per_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert corpus_pipeline.run(spark, SF).count() == len(pieces)
