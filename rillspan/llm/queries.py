@@ -91,6 +91,19 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, p, array_to_string(list_slice(words, p, p + 19), ' ') AS said
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS p FROM d)),
+again AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY said ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, p + k AS p FROM again, range(20) r(k)),
+word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS said FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality": op2_quality,
@@ -106,4 +119,5 @@ QUERIES = {
 
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }
