@@ -22,6 +22,8 @@ of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,14 +73,12 @@ def exact_dedup(
         .select(F.unhex("hex").alias("digest"))
         .distinct()
     )
-    least = digests.agg(F.greatest(F.lit(2), F.ceil(F.count("*") * support)).alias("least"))
+    least = max(2, math.ceil(digests.count() * support))
     frequent = work.save(
         digests.join(F.broadcast(candidates), "digest")
         .groupBy("digest")
         .agg(winner.alias("winner"), F.count("*").alias("group_size"))
-        .crossJoin(F.broadcast(least))  # one row
-        .filter(F.col("group_size") >= F.col("least"))
-        .drop("least"),
+        .filter(F.col("group_size") >= least),
         "frequent",
     )
     marked = digests.join(F.broadcast(frequent), "digest", "left")
