@@ -179,7 +179,16 @@ class Mix:
         lack = balance.filter("lack > 0").select(
             F.col("source_no").alias("to_no"), "got", "lack_at", (F.col("lack_at") + F.col("lack")).alias("lack_to")
         )
-        moves = over.join(lack, (F.col("over_at") < F.col("lack_to")) & (F.col("lack_at") < F.col("over_to")))
+        # intervals meet in the grid cell where the later of the two begins
+        wide = max(1, -(-balance.agg(F.coalesce(F.sum("over"), F.lit(0))).first()[0] // GRID))
+        in_cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / wide), F.floor((F.col(hi) - 1) / wide)))
+        moves = (
+            over.withColumn("cell", in_cells("over_at", "over_to"))
+            .join(lack.withColumn("cell", in_cells("lack_at", "lack_to")), "cell")
+            .filter((F.col("over_at") < F.col("lack_to")) & (F.col("lack_at") < F.col("over_to")))
+            .filter(F.col("cell") == F.floor(F.greatest("over_at", "lack_at") / wide))
+            .drop("cell")
+        )
         slot = dealt.join(self._small(balance.select("source_no", "n_slots")), "source_no").select(
             "shard", "source_no", "n_slots", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("drawn") - 1)).alias("j")
         )
