@@ -148,23 +148,35 @@ def probe_messages(batches, half: int, window: int, buckets: int, max_words: int
             n_anchor = int(anchor[who].sum())
             if n_anchor < len(who):
                 gap[n_anchor] = pos[n_anchor]
-            wide = "<u2" if gap.max() < 65536 else "<u4"
             names.append(b)
             blobs.append(
-                struct.pack("<III", len(who), n_anchor, int(wide[-1]))
+                struct.pack("<II", len(who), n_anchor)
                 + (low & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
                 + (low >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8).tobytes()
-                + gap.astype(wide).tobytes()
+                + _gaps_to_bytes(gap)
             )
         yield _message(bucket=names, kind=[HEADER] + [PROBE] * (len(blobs) - 1), batch=[batch] * len(blobs), payload=blobs)
 
 
+def _gaps_to_bytes(gap: np.ndarray) -> bytes:
+    """Each gap as its number of 255s, one byte each, and the rest."""
+    whole, rest = np.divmod(gap, 255)
+    out = np.full(len(gap) + int(whole.sum()), 255, np.uint8)
+    out[np.cumsum(whole + 1) - 1] = rest
+    return out.tobytes()
+
+
+def _sums_of_gaps(blob: bytes, at: int) -> np.ndarray:
+    """Running sums of the gaps in what follows ``at``."""
+    steps = np.frombuffer(blob, np.uint8, offset=at)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+
+
 def _read_probe(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m, n_anchor, wide = struct.unpack_from("<III", blob)
-    low = np.frombuffer(blob, "<u4", m, 12).astype(np.uint64)
-    high = np.frombuffer(blob, np.uint8, m, 12 + 4 * m).astype(np.uint64)
-    gap = np.frombuffer(blob, f"<u{wide}", m, 12 + 5 * m).astype(np.int64)
-    pos = np.cumsum(gap)
+    m, n_anchor = struct.unpack_from("<II", blob)
+    low = np.frombuffer(blob, "<u4", m, 8).astype(np.uint64)
+    high = np.frombuffer(blob, np.uint8, m, 8 + 4 * m).astype(np.uint64)
+    pos = _sums_of_gaps(blob, 8 + 5 * m)
     if n_anchor < m and n_anchor:
         pos[n_anchor:] -= pos[n_anchor - 1]
     return low | high << np.uint64(32), pos, np.arange(m) < n_anchor
@@ -261,12 +273,15 @@ def window_messages(batches, half: int, window: int, buckets: int, max_words: in
         bucket = key[sent] % np.uint64(buckets)
         for b, part in _split(np.argsort(bucket, kind="stable"), bucket):
             who = sent[part]
-            used, local = np.unique(doc[who], return_inverse=True)
+            used, first_of, count = np.unique(doc[who], return_index=True, return_counts=True)
+            gap = np.diff(start[who], prepend=0)  # the windows lie in order of document and start
+            gap[first_of] = start[who][first_of]
             blobs.append(
                 struct.pack("<II", len(who), len(used))
                 + used.astype("<u2").tobytes() + id_of[used].astype("<i8").tobytes() + row_of[used].astype("<i8").tobytes()
+                + count.astype("<u4").tobytes()
                 + key[who].astype("<u8").tobytes() + second[who].astype("<u4").tobytes()
-                + local.astype("<u2").tobytes() + start[who].astype("<u4").tobytes()
+                + _gaps_to_bytes(gap)
             )
             names.append(b), kinds.append(WINDOWS), rows.append(None), ids.append(None), ns.append(0)
         yield _message(bucket=names, kind=kinds, batch=[batch] * len(blobs), row=rows, id=ids, n=ns, payload=blobs)
@@ -282,9 +297,12 @@ def _read_windows(blob: bytes) -> tuple[np.ndarray, ...]:
         at += out.nbytes
         return out
 
-    used, ids, rows = take("<u2", u), take("<i8", u), take("<i8", u)
-    key, second, local, start = take("<u8", m), take("<u4", m), take("<u2", m), take("<u4", m)
-    return key, second, ids[local], rows[local], start, used[local]
+    used, ids, rows, count = take("<u2", u), take("<i8", u), take("<i8", u), take("<u4", u).astype(np.int64)
+    key, second = take("<u8", m), take("<u4", m)
+    upto, first_of = _sums_of_gaps(blob, at), np.cumsum(count) - count
+    before = np.where(first_of > 0, upto[first_of - 1], 0)
+    start = upto - np.repeat(before, count)
+    return key, second, np.repeat(ids, count), np.repeat(rows, count), start, np.repeat(used, count)
 
 
 def find_repeats(table: pa.Table) -> pa.RecordBatch:
