@@ -48,8 +48,8 @@ def test_writers(spark, alerts, tmp_path):
 
 
 def test_config():
-    got = config.read_config("[dshell]\nlimit = 5\nrate=0.5\nname = x\nflag=true\n[grep]\ninvert=false\n")
-    assert got == {"dshell": {"limit": 5, "rate": 0.5, "name": "x", "flag": True}, "grep": {"invert": False}}
+    got = config.read_config("[main]\nlimit = 5\nrate=0.5\nname = x\nflag=true\n[grep]\ninvert=false\n")
+    assert got == {"main": {"limit": 5, "rate": 0.5, "name": "x", "flag": True}, "grep": {"invert": False}}
 
 
 def test_chains(spark):
