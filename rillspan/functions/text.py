@@ -30,9 +30,11 @@ def header(headers: Column, name: str) -> Column:
 
 def last_modified(headers: Column) -> Column:
     """The Last-Modified time, else the Date, as a timestamp."""
-    form = F.lit("EEE, dd MMM yyyy HH:mm:ss 'GMT'")
-    parse = lambda n: F.try_to_timestamp(F.regexp_replace(header(headers, n), "^[A-Za-z]+, ", ""), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))
-    del form
+
+    def parse(name: str) -> Column:
+        without_day = F.regexp_replace(header(headers, name), "^[A-Za-z]+, ", "")
+        return F.try_to_timestamp(without_day, F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))
+
     return F.coalesce(parse("last-modified"), parse("date"))
 
 

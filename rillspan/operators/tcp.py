@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FIN, SYN, RST, ACK = 1, 2, 4, 16
@@ -138,13 +138,20 @@ class Tracker:
 def connections(packets: DataFrame, idle_tcp_s: float = 300, idle_udp_s: float = 60, ignore_handshake: bool = False, gaps: str = "pad", max_blobs: int | None = None) -> DataFrame:
     """Blobs of every connection; one without data has one row with a null blob.
 
-    Packets meet by their unordered endpoints, so both directions are in one
-    group, which is as large as one endpoint pair's traffic.
+    Packets meet by their unordered endpoints, so both directions are together.
+    Idle gaps split an endpoint pair's traffic before it is grouped, so a group
+    is one busy spell, not all that two machines ever said.
     """
     a, b = F.concat_ws(":", "sip", "sport"), F.concat_ws(":", "dip", "dport")
     keyed = packets.filter(F.col("proto").isin(6, 17) & (F.col("frag_offset") == 0)).withColumn(
-        "conn_key", F.concat_ws("|", F.least(a, b), F.greatest(a, b), "proto", "file")
+        "_pair", F.concat_ws("|", F.least(a, b), F.greatest(a, b), "proto", "file")
     )
+    pair = Window.partitionBy("_pair")
+    order = pair.orderBy("ts_us", "frame_no")
+    idle = F.when(F.col("proto") == 17, F.lit(idle_udp_s)).otherwise(F.lit(idle_tcp_s)) * 1e6
+    spell = F.sum(F.when(F.col("ts_us") - F.lag("ts_us").over(order) > idle, 1).otherwise(0)).over(order)
+    keyed = keyed.withColumn("_spell", spell).withColumn("_more", F.max("_spell").over(pair) > F.col("_spell"))
+    keyed = keyed.withColumn("conn_key", F.concat_ws("|", "_pair", "_spell"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts_us", "frame_no"])
@@ -152,7 +159,7 @@ def connections(packets: DataFrame, idle_tcp_s: float = 300, idle_udp_s: float =
         tracker = Tracker(int(1e6 * (idle_udp_s if udp else idle_tcp_s)), ignore_handshake, gaps, max_blobs or (2 if udp else None))
         for p in pdf.itertuples(index=False):
             tracker.packet(p)
-        tracker.close()
+        tracker.close("timeout" if bool(pdf["_more"].iloc[0]) else None)
         names = [c.split()[0] for c in BLOBS.split(", ")]
         out = pd.DataFrame(tracker.rows(pdf["conn_key"].iloc[0]), columns=names)
         for c in ("blob_no",):
@@ -161,7 +168,7 @@ def connections(packets: DataFrame, idle_tcp_s: float = 300, idle_udp_s: float =
             out[c] = out[c].astype("Int64")
         return out
 
-    columns = ["conn_key", "frame_no", "ts_us", "sip", "sport", "dip", "dport", "proto", "flags", "seq", "ack", "payload"]
+    columns = ["conn_key", "frame_no", "ts_us", "sip", "sport", "dip", "dport", "proto", "flags", "seq", "ack", "payload", "_more"]
     return keyed.select(columns).groupBy("conn_key").applyInPandas(run, BLOBS)
 
 

@@ -103,6 +103,14 @@ def test_connections(blobs_of):
     assert (got.client_packets, got.server_packets, got.client_bytes, got.server_bytes) == (3, 1, 9, 6)
 
 
+def test_idle_gaps_split(spark):
+    rows = [(f"{t}", n, t * 1_000_000, "a", 1, "b", 2, 17, None, None, None, b"x", 0) for n, t in enumerate((0, 10, 100, 110))]
+    columns = "ignored string, frame_no long, ts_us long, sip string, sport int, dip string, dport int, proto int, flags int, seq long, ack long, payload binary, frag_offset int"
+    df = spark.createDataFrame(rows, columns).selectExpr("*", "'f' AS file")
+    got = sorted((r.start_us, bytes(r.data), r.state) for r in tcp.connections(df).collect())
+    assert got == [(0, b"xx", "timeout"), (100_000_000, b"xx", "established")]
+
+
 def test_wrapped_sequence_and_policies():
     top = 2**32 - 2
     assert tcp.laid({top: [b"ab"], 0: [b"cd"]}, top) == (b"abcd", False)
