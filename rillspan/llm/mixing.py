@@ -79,7 +79,7 @@ class Mix:
         block: int = 1024,
         most: int = 3,
         shard_slots: int = 4096,
-        bucket_rows: int = 20_000,
+        bucket_rows: int = 2_000,
         broadcast_rows: int = 50_000,
         seed: int = 20240,
     ):
