@@ -347,7 +347,7 @@ RESERVED_SQL = " OR ".join(f"ip BETWEEN {lo} AND {hi}" for lo, hi in map(filters
 
 
 def addresses(spark, sf):
-    ip = F.pmod(F.col("l_orderkey").cast("decimal(38,0)") * 2654435761 + F.col("l_linenumber") * 40503, F.lit(1 << 32)).cast("long")
+    ip = F.pmod(F.col("l_orderkey") * F.lit(2654435761) + F.col("l_linenumber") * 40503, F.lit(1 << 32)).cast("long")
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ip.alias("ip"))
 
 
