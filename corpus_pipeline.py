@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillspan.llm.exact_dedup import unique_documents
 from rillspan.llm.mixing import mixed_documents
+from rillspan.llm.near_copies import without_near_copies
 from rillspan.llm.packing import best_fit_packing
 from rillspan.llm.quality import good_documents
 from rillspan.llm.queries import table, vocabulary
-from rillspan.llm.simhash import distinct_documents
 from rillspan.llm.work import Work
 
 
@@ -31,10 +31,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays.
 
-    Shingles of five words; fingerprints link at six or fewer differing bits of
-    64, a share of equal bits of over 0.9.
+    Documents link at a Jaccard similarity of 0.8 or more of their shingles of
+    five words.  No radius of SimHash fingerprints holds all of those (some
+    differ in 17 bits of 64), so candidates come from a prefix filter.
     """
-    return distinct_documents(docs, words=5, radius=6, bands=8)
+    return without_near_copies(docs, words=5, num=4, den=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
