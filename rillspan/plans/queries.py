@@ -144,6 +144,21 @@ def hit_context(spark, sf):
     return search.hit_context(table(spark, sf, "conversations"), "the", "conv_id", "turn", "role", "text")
 
 
+@query("""WITH b AS (SELECT *, lag(text) OVER w AS p, lead(text) OVER w AS n, CASE WHEN role = 'user' THEN '<-' ELSE '->' END AS arrow
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+a AS (SELECT *, lag(arrow) OVER w AS pa, lead(arrow) OVER w AS na FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT *, unnest(string_split(text, 'the')) AS part, generate_subscripts(string_split(text, 'the'), 1) AS k FROM a),
+h AS (SELECT *, CAST(sum(length(part)) OVER (PARTITION BY conv_id, turn ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  + 3 * (k - 2) AS INT) AS off FROM s QUALIFY k > 1)
+SELECT conv_id, turn, off,
+  CASE WHEN off < 50 AND p IS NOT NULL THEN pa || right(p, 50 - off) ELSE '' END || arrow || substring(text, greatest(off - 50, 0) + 1, least(off, 50)) AS before,
+  substring(text, off + 4, 30) || CASE WHEN length(text) - off - 3 < 30 AND n IS NOT NULL
+    THEN na || left(n, 30 - (length(text) - off - 3)) ELSE '' END AS after
+FROM h""")
+def hit_contexts(spark, sf):
+    return search.hit_contexts(table(spark, sf, "conversations"), "the", "conv_id", "turn", "role", "text", client="user")
+
+
 @query(f"WITH {HITS} SELECT path, count(*) AS hits, string_agg(off, ',' ORDER BY off) AS offsets FROM h GROUP BY path")
 def results_by_file(spark, sf):
     return search.results_by_file(search.locate(streams(spark, sf), "the"))
