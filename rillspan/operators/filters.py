@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillspan.functions.patterns import quote
+
 
 def country_label(client: Column, server: Column, code: str, neither: bool = False, both: bool = False, not_both: bool = False) -> Column:
     """Why a flow matches a country, null where it does not.
@@ -100,12 +102,47 @@ def parse_rules(text: str) -> list[Rule]:
     return [parse_rule(x) for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
 
 
+def _chains(contents: list[Content]) -> list[list[Content]]:
+    """Each content that is not relative, with the relative ones after it."""
+    found: list[list[Content]] = []
+    for c in contents:
+        if not found or (c.distance is None and c.within is None):
+            found.append([])
+        found[-1].append(c)
+    return found
+
+
+def _chain_pattern(chain: list[Content]) -> str | None:
+    """A Java regular expression that tries every occurrence; null where no text can match."""
+    parts = ["(?s)\\A"]
+    for c in chain:
+        relative = c.distance is not None or c.within is not None
+        lo, room = (c.distance or 0, c.within) if relative else (c.offset, c.depth)
+        hi = "" if room is None else lo + room - len(c.text)
+        if hi != "" and hi < lo:
+            return None
+        parts.append(f".{{{lo},{hi}}}?" + (f"(?iu:{quote(c.text)})" if c.nocase else quote(c.text)))
+    return "".join(parts)
+
+
 def contents_match(text: Column, contents: list[Content]) -> Column:
-    """Whether all contents occur, each after the one before where it is relative.
+    """Whether all contents occur, each after some match of the one before where it is relative.
 
-    The end of the previous match is carried along, so ``distance`` and
-    ``within`` have their usual meaning.
+    A relative content is tried after every occurrence of those before it; only
+    after a negative distance does the first occurrence alone count.
     """
+    ok: Column = F.lit(True)
+    for chain in _chains(contents):
+        if len(chain) == 1 or any((c.distance or 0) < 0 for c in chain):
+            ok = ok & first_contents_match(text, chain)
+        else:
+            pattern = _chain_pattern(chain)
+            ok = ok & (F.lit(False) if pattern is None else text.rlike(pattern))
+    return ok
+
+
+def first_contents_match(text: Column, contents: list[Content]) -> Column:
+    """``contents_match`` with each relative content tried only after the first match before it."""
     end: Column = F.lit(0)
     ok: Column = F.lit(True)
     for c in contents:
@@ -141,9 +178,9 @@ def _endpoint(address: Column, port: Column, want: str, want_port: str) -> Colum
     return cond
 
 
-def rule_predicate(rule: Rule, data: str = "data", proto: str = "proto", src: str = "sip", sport: str = "sport", dst: str = "dip", dport: str = "dport") -> Column:
+def rule_predicate(rule: Rule, data: str = "data", proto: str = "proto", src: str = "sip", sport: str = "sport", dst: str = "dip", dport: str = "dport", first_only: bool = False) -> Column:
     """A rule as a column predicate; nothing is evaluated as code."""
-    cond = contents_match(F.col(data), rule.contents)
+    cond = (first_contents_match if first_only else contents_match)(F.col(data), rule.contents)
     if rule.proto != "ip":
         cond = cond & (F.lower(proto) == rule.proto)
     if (rule.src, rule.sport) != ("any", "any"):

@@ -418,13 +418,16 @@ RULE_SQL = [
 ]
 
 
-def rule_columns():
-    return [filters.rule_predicate(r, data="text", proto="proto") for r in RULES]
+EVERY_SQL = [RULE_SQL[0], "regexp_matches(text, '(?s)the.{0,57}and')", RULE_SQL[2]]
 
 
-def with_rules(spark, sf, mode):
+def rule_columns(first_only=True):
+    return [filters.rule_predicate(r, data="text", proto="proto", first_only=first_only) for r in RULES]
+
+
+def with_rules(spark, sf, mode, first_only=True):
     docs = table(spark, sf, "documents").withColumn("proto", F.lit("tcp"))
-    return filters.apply_rules(docs, rule_columns(), mode).select("doc_id")
+    return filters.apply_rules(docs, rule_columns(first_only), mode).select("doc_id")
 
 
 @query(f"SELECT doc_id FROM documents WHERE {' OR '.join(RULE_SQL)}")
@@ -449,6 +452,28 @@ def rule_first(spark, sf):
     return filters.first_rule(docs, rule_columns(), [r.message for r in RULES]).select("doc_id", "rule")
 
 
+@query(f"SELECT doc_id FROM documents WHERE {' OR '.join(EVERY_SQL)}")
+def rule_any_every(spark, sf):
+    return with_rules(spark, sf, "any", first_only=False)
+
+
+@query(f"SELECT doc_id FROM documents WHERE {' AND '.join(EVERY_SQL)}")
+def rule_all_every(spark, sf):
+    return with_rules(spark, sf, "all", first_only=False)
+
+
+@query(f"SELECT doc_id FROM documents WHERE NOT ({' OR '.join(EVERY_SQL)})")
+def rule_none_every(spark, sf):
+    return with_rules(spark, sf, "none", first_only=False)
+
+
+@query(f"""SELECT doc_id, CASE WHEN {EVERY_SQL[0]} THEN 'early' WHEN {EVERY_SQL[1]} THEN 'near' ELSE 'hex' END AS rule
+FROM documents WHERE {' OR '.join(EVERY_SQL)}""")
+def rule_first_every(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("proto", F.lit("tcp"))
+    return filters.first_rule(docs, rule_columns(first_only=False), [r.message for r in RULES]).select("doc_id", "rule")
+
+
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
 SELECT doc_id, CAST(line_no AS INT) AS line_no, rtrim(x) AS line, regexp_extract(rtrim(x), '(?i)(licen[cs]e[a-z]*)', 1) AS m1
 FROM l WHERE regexp_matches(rtrim(x), '(?i)(licen[cs]e[a-z]*)')""")

@@ -89,6 +89,18 @@ def test_bpf_text():
             bpf.compiled(bad)
 
 
+def test_rules_try_every_occurrence(spark):
+    rules = filters.parse_rules('''
+    alert ip any any -> any any (content:"the"; content:"and"; distance:0; within:6;)
+    alert ip any any -> any any (content:"A."; nocase; content:"b"; distance:1; within:2; content:"c"; within:1;)
+    alert ip any any -> any any (content:"ab"; content:"long"; within:3;)
+    ''')
+    rows = [(0, "the ......... the\nand"), (1, "the ......... the ...and"), (2, "a.-b a.-bc"), (3, "a.-b A..--bc"), (4, "ablong"), (5, None)]
+    df = spark.createDataFrame(rows, "n int, data string")
+    assert [[r.n for r in df.filter(filters.rule_predicate(x)).collect()] for x in rules] == [[0], [2], []]
+    assert df.filter(filters.rule_predicate(rules[0], first_only=True)).count() == 0
+
+
 def test_rules(spark):
     rules = filters.parse_rules('''
     alert tcp any any -> any 80 (msg:"a"; content:"ab|20 63|"; offset:1; depth:6;)
