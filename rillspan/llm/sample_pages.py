@@ -7,6 +7,7 @@ A page is a list of marked-up parts; ``<x>`` wraps what is not main text and
 from __future__ import annotations
 
 import random
+import re
 import string
 
 from rillspan.llm.dom import Page
@@ -14,8 +15,16 @@ from rillspan.llm.dom import Page
 OUTSIDE, CONTENT, AWAY = range(3)
 
 
+def _vocabulary(count: int = 900) -> list[str]:
+    r = random.Random(1)
+    return ["".join(r.choices(string.ascii_lowercase, k=r.choice((2, 3, 4, 5, 6, 7, 9)))) for _ in range(count)]
+
+
+WORDS = _vocabulary()
+
+
 def _word(r: random.Random) -> str:
-    return "".join(r.choice(string.ascii_lowercase) for _ in range(r.choice((2, 3, 4, 5, 6, 7, 9))))
+    return r.choice(WORDS)
 
 
 def _words(r: random.Random, low: int, high: int) -> str:
@@ -81,7 +90,7 @@ def _away(r: random.Random, kind: str) -> str:
         return f"<div{_attr(r, 'footer foot copyright legal bottom imprint', True)}>{body}</div>"
     if kind == "ad":
         body = r.choice((_prose(r, 1, 3), f"<p>{_prose(r, 1, 2)}</p>", f'<a href="/{_word(r)}"><img src="x">{_words(r, 1, 6)}</a>'))
-        mark = r.choice(("div", "div", "div", "section", "aside", "p"))
+        mark = r.choice(("div", "div", "div", "section", "aside", "div" if "<p" in body else "p"))
         return f"<{mark}{_attr(r, 'ad ads advert advertisement sponsored promo banner promotion adsense sponsor', True)}>{body}</{mark}>"
     if kind == "notice":
         body = r.choice((_prose(r, 1, 3), f"<p>{_prose(r, 1, 2)}</p>")) + r.choice(("", f"<button>{_words(r, 1, 2)}</button>"))
@@ -109,7 +118,8 @@ def _away(r: random.Random, kind: str) -> str:
 
 
 def _x(r: random.Random, *kinds: str) -> str:
-    return f"<x>{_away(r, r.choice(kinds))}</x>"
+    # an open paragraph would end inside the mark and take it along
+    return f"</p><x>{_away(r, r.choice(kinds))}</x>"
 
 
 def _body(r: random.Random) -> str:
@@ -160,9 +170,26 @@ def _page(r: random.Random) -> str:
     for _ in range(r.choice((0, 0, 0, 1, 2))):
         inner = f"<div{_attr(r, 'wrapper container page site layout wrap')}>{inner}</div>"
     head = f"<head><title>{_words(r, 1, 6)}</title><style>p{{}}</style><script>var a='</p>';</script></head>" if r.random() < 0.8 else ""
+    if r.random() < 0.5:
+        inner = _plain(r, inner)
     return f"<!DOCTYPE html><html>{head}<body>{inner}</body></html>"
 
 
+def _plain(r: random.Random, html: str) -> str:
+    """The page with some kinds of speaking tags, all of a kind or none, turned to div.
+
+    Those that only an attribute sets apart from the main text keep their tag when they have none.
+    """
+    for tag in ("article", "main", "section", "nav", "header", "footer", "aside"):
+        if r.random() < 0.65:
+            bare = "" if tag in ("article", "main", "nav", "footer") else "(?= )"
+            opened = re.compile(f"<{tag}{bare}(?=[ >])")
+            if bare and re.search(f"<{tag}>", html):
+                continue
+            html = opened.sub("<div", html).replace(f"</{tag}>", "</div>")
+    return html
+
+
 def labelled(count: int, seed: int = 3):
     """Pages without marks, each with its elements' classes."""
     r = random.Random(seed)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
 from html import unescape
 
@@ -127,16 +128,67 @@ def test_extraction_of_whole_table(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+@pytest.mark.parametrize("form", ["div", "section", "none", "all div"])
+def test_extraction_without_speaking_tags(spark, form):
+    htmls = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    want = [article(h) for h in htmls]
+    if form == "none":
+        changed = [re.sub("</?article>", "", h) for h in htmls]
+    elif form == "all div":
+        changed = [re.sub(r"(</?)(article|nav|footer)\b", r"\1div", h) for h in htmls]
+    else:
+        changed = [re.sub(r"(</?)article\b", rf"\1{form}", h) for h in htmls]
+    got = extract(changed, trained())
+    assert sum(a == b for a, b in zip(got, want, strict=True)) / len(want) > 0.98
+
+
+LONG = "Many words of the article stand here, and some more of them follow. "
+FRAME = "<html><body><nav><ul><li><a href=/a>one</a><li><a href=/b>two</a></ul></nav><article><h1>Head line</h1><p>{}</p>{}</article><footer>&copy; x.example</footer></body></html>"
+
+
+@pytest.mark.parametrize("inner", ["<object>", "<select>", "<svg>", "<noscript>", "<template>", "<math><mi>x</mi></math>", "<textarea>", "<title>", "<iframe>", "<!-- ", "<noframes>", "<span"])
+def test_unclosed_elements_lose_no_article_text(inner):
+    got = extract([FRAME.format(LONG * 3, f"{inner}<p>{LONG * 4}</p><p>Last words of it.</p>")], trained())[0]
+    assert (LONG * 4).strip() in got and "Last words of it." in got
+
+
+@pytest.mark.parametrize("unit", ['"', "'", ' a="', " a='", '="x', "<b ", '<b a="', "<!--", "</", "<textarea>", "<p><b>", "<div>", "</i>", "<table><tr><td>", "<a href=\"x>y\" ", "&"])
+def test_time_of_broken_pages_is_linear(unit):
+    start = time.perf_counter()
+    extract([FRAME.format("", "<p>text</p><b " + unit * 10_000), f"<body><p>some <b he said {unit * 10_000} and"], trained())
+    assert time.perf_counter() - start < 10
+
+
+def test_cut_off_and_stray_tags():
+    texts = lambda html: "".join(t for _, t in Page(html).texts)
+    assert texts('x <a href="q" title="long va') == "x "
+    assert texts("x <b he said") == "x <b he said"
+    assert texts("1 < 2 <3 and <") == "1 < 2 <3 and <"
+    assert texts('<b a="1>2" c=\'>\' d>in</b> out') == "in out"
+    assert texts('<b a="1> x <i>y</i> z') == " x y z"
+    assert texts("<script>a</script >b<script>c") == "b"
+
+
+def test_extraction_of_long_page_repeated_rows_and_clashing_names(spark):
+    long = FRAME.format(LONG, "".join(f"<p>{LONG}{n}.</p>" for n in range(20_000)))
+    schema = "page_id long, url string, html string, id int, c0 int, text string, n_chars int, html_ int"
+    rows = [(1, "u", long, 1, 2, "t", 3, 4), (2, "v", FRAME.format(LONG * 3, ""), 1, 2, "t", 3, 4), (2, "v", FRAME.format(LONG * 3, ""), 1, 2, "t", 3, 4)]
+    got = sorted(main_text(spark.createDataFrame(rows, schema)).collect())
+    assert [r.id for r in got] == [1, 2, 2] and got[1] == got[2] and got[0].text.count("\n") == 20_001
+    assert main_text(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_extraction_of_odd_rows(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<"), (None, "u", "<p>x</p>"), (5, "u", "plain &amp; text"), (6, "u", "<div>" * 3000)]
     got = {r.id: r for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[5].text == "plain & text" and got[3].text == "<"
     assert len(got) == 6 and got[1].text == got[2].text == "" and got[6].n_chars == 0
 
 
 def test_decoding_is_consistent():
     model = trained()
     same = n = 0
-    for page, classes in labelled(60, seed=77):
+    for page, classes in labelled(200, seed=77):
         from rillspan.llm.dom import describe
 
         state = decode(page, model.log_proba(describe(page)))
@@ -146,7 +198,7 @@ def test_decoding_is_consistent():
             assert not (above == CONTENT and state[k] == OUTSIDE)
         same += blocks(page, state == CONTENT) == blocks(page, np.array(classes) == CONTENT)
         n += 1
-    assert same / n > 0.7
+    assert same / n >= 0.95
 
 
 def test_tree_and_blocks():
