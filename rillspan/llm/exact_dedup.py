@@ -10,8 +10,9 @@ id exactly one stays.
    then computed with map-side partial aggregation; the verified ones, at most
    ``1 / support`` rows by construction, are broadcast.
 3. Rows of a verified frequent digest get their result map-side, without a
-   shuffle.  All other rows are shuffled by digest; none of those groups holds
-   more than a ``support`` share of the rows.
+   shuffle.  The other digests' winners come from a partially combined
+   aggregation and are joined back by digest; none of those groups holds more
+   than a ``support`` share of the rows, and none is ever held in memory.
 
 Everything is a built-in DataFrame operation.
 
@@ -24,9 +25,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillspan.llm.rows import columns_of, numbered, staying
 from rillspan.llm.work import Work
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -83,14 +85,9 @@ def exact_dedup(
     )
     marked = digests.join(F.broadcast(frequent), "digest", "left")
     hot = marked.filter(F.col("group_size").isNotNull())
-    group = Window.partitionBy("digest")
-    cold = digests.join(F.broadcast(frequent.select("digest")), "digest", "left_anti").select(
-        "digest",
-        "row",
-        "id",
-        F.max(F.struct("id", "row")).over(group).alias("winner"),
-        F.count("*").over(group).alias("group_size"),
-    )
+    rest = digests.join(F.broadcast(frequent.select("digest")), "digest", "left_anti")
+    won = rest.groupBy("digest").agg(winner.alias("winner"), F.count("*").alias("group_size"))
+    cold = rest.join(won, "digest").select("digest", "row", "id", "winner", "group_size")
     return hot.select(cold.columns).unionByName(cold).select(
         "row",
         "id",
@@ -101,8 +98,8 @@ def exact_dedup(
     )
 
 
-def unique_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows that stay, with all their columns; ``docs`` must be a plain scan."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    stay = exact_dedup(numbered, row_col="_row", **options).filter("kept").select(F.col("row").alias("_row"))
-    return numbered.join(stay, "_row", "left_semi").select(docs.columns)
+def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that stay, with all their columns, whatever their names; ``docs`` must be a plain scan."""
+    whole = numbered(docs)
+    found = exact_dedup(columns_of(whole, id=id_col, text=text_col), "id", "text", "row", **options)
+    return staying(whole, found.filter("kept"))
