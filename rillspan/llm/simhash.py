@@ -3,9 +3,11 @@
 1. Texts (A-Z lower-cased) give shingles of ``words`` words, repeats included;
    a fingerprint bit is set where over half of the shingles' XXH64 have it.
    Fewer words make one shingle of the whole; none make fingerprint zero.
-2. Distinct fingerprints are keyed by every pair of ``bands`` bands.  Within
-   ``radius`` differing bits at least two bands are untouched, so any two that
-   link share a key: no link is lost.
+2. Distinct fingerprints are keyed by every choice of ``bands - radius`` of
+   ``bands`` bands.  Within ``radius`` differing bits so many are untouched, so
+   any two that link share a key: no link is lost.  The number of bands, and so
+   the width of a key, grows with the number of fingerprints, which keeps the
+   expected number of those that share a key constant.
 3. Fingerprints of one key are compared on bit planes (``bitslice``), which
    emits at most one link per member, a spanning star, not all pairs.
 4. Components of the links come from alternating stars (``components``).
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillspan.llm.components import stars
+from rillspan.llm.rows import columns_of, numbered, staying
+from rillspan.llm.skew import join_counted
 from rillspan.llm.work import Work
 
 SEED = 42
@@ -80,11 +84,19 @@ def fingerprints(texts: list[str | None], words: int, budget: int = 1 << 16) ->
     return np.packbits(set_, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def band_keys(bands: int) -> list[tuple[int, int]]:
-    """Mask and number of every pair of bands."""
+def band_keys(bands: int, radius: int) -> list[tuple[int, int]]:
+    """Mask and number of every choice of the bands that a link must leave untouched."""
     edges = [round(64 * n / bands) for n in range(bands + 1)]
     masks = [(1 << edges[n + 1]) - (1 << edges[n]) for n in range(bands)]
-    return [(masks[a] | masks[b], n) for n, (a, b) in enumerate(combinations(range(bands), 2))]
+    return [(sum(chosen), n) for n, chosen in enumerate(combinations(masks, bands - radius))]
+
+
+def bands_for(rows: int, radius: int, group: int = 32) -> int:
+    """The least number of bands whose keys have so many bits that ``group`` of ``rows`` share one, if bits are even."""
+    bands = radius + 2
+    while rows > group << 64 * (bands - radius) // bands and bands < 63:
+        bands += 1
+    return bands
 
 
 def _signed(x: int) -> int:
@@ -109,9 +121,9 @@ def fingerprint_table(df: DataFrame, words: int) -> DataFrame:
 
 def near_links(distinct: DataFrame, radius: int, bands: int) -> DataFrame:
     """``a, b``: links that span every two fingerprints within the radius."""
-    if bands - radius < 2:
-        raise ValueError("two bands must stay untouched within the radius")
-    keys = [F.xxhash64(F.col("fp").bitwiseAND(F.lit(_signed(mask))), F.lit(n)) for mask, n in band_keys(bands)]
+    if bands <= radius:
+        raise ValueError("some band must stay untouched within the radius")
+    keys = [F.xxhash64(F.col("fp").bitwiseAND(F.lit(_signed(mask))), F.lit(n)) for mask, n in band_keys(bands, radius)]
     keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +159,7 @@ def simhash_groups(
     row_col: str | None = None,
     words: int = 5,
     radius: int = 4,
-    bands: int = 6,
+    bands: int | None = None,
 ) -> DataFrame:
     """``row, id, fp, fingerprint, component_id, kept``: one row per input row.
 
@@ -160,13 +172,17 @@ def simhash_groups(
     docs = work.save(fingerprint_table(narrow, words), "fingerprints")
     # nulls sort last; the row number settles repeated ids
     nodes = work.save(
-        docs.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")), "nodes"
+        docs.groupBy("fp").agg(
+            F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.count("*").alias("rows")
+        ),
+        "nodes",
     )
-    star = stars(near_links(nodes.select("fp"), radius, bands), work)
-    rooted = nodes.join(star, nodes["fp"] == star["a"], "left").select("fp", "best", F.coalesce("b", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("best").alias("first"))
-    found = rooted.select("fp", "root").join(best, "root").select("fp", "first")
-    return docs.join(found, "fp").select(
+    distinct, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    star = stars(near_links(nodes.select("fp"), radius, bands or bands_for(distinct, radius)), work)
+    rooted = nodes.join(star, nodes["fp"] == star["a"], "left").select("fp", "best", "rows", F.coalesce("b", "fp").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("best").alias("first"), F.count("*").alias("n"))
+    found = join_counted(rooted.select("fp", "rows", "root"), best, "root", distinct).select("fp", "first", F.col("rows").alias("n"))
+    return join_counted(docs, found, "fp", rows).select(
         "row",
         "id",
         "fp",
@@ -176,8 +192,8 @@ def simhash_groups(
     )
 
 
-def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """One row of every group of near-duplicates, with all its columns; ``docs`` must be a plain scan."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    stay = simhash_groups(numbered, row_col="_row", **options).filter("kept").select(F.col("row").alias("_row"))
-    return numbered.join(stay, "_row", "left_semi").select(docs.columns)
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of every group of near-duplicates, with all its columns, whatever their names; ``docs`` must be a plain scan."""
+    whole = numbered(docs)
+    found = simhash_groups(columns_of(whole, id=id_col, text=text_col), "id", "text", "row", **options)
+    return staying(whole, found.filter("kept"))

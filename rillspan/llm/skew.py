@@ -1,0 +1,20 @@
+"""Joins on keys of which one may hold a large share of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, rows: int, most: int = 10_000, least: int = 64) -> DataFrame:
+    """Inner join on ``key``; ``right`` has one row per key and ``n``, the number of rows of ``left`` that have it.
+
+    ``left`` has about ``rows`` rows, so at most ``most`` keys can have more than
+    ``rows / most`` of them; those are broadcast and settled map-side.  The other
+    keys are shuffled, and none of them is larger than that.
+    """
+    limit = max(least, -(-rows // most))
+    hot = F.broadcast(right.filter(F.col("n") > limit))
+    settled = left.join(hot.drop("n"), key)
+    others = left.join(hot.select(key), key, "left_anti").join(right.filter(F.col("n") <= limit).drop("n"), key)
+    return settled.unionByName(others)
