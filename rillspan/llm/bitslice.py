@@ -164,3 +164,50 @@ def links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, n
             large_group(fps[first : first + size], first, radius, label)
     tied = np.flatnonzero(label != np.arange(len(keys)))
     return fps[tied], fps[label[tied]]
+
+
+def _small_pairs(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, heads: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius inside groups of at most 64; with ``heads`` only those of a group's first member."""
+    room = np.int64(1) << np.ceil(np.log2(sizes)).astype(np.int64)
+    order = np.argsort(-room, kind="stable")
+    starts, sizes, room = starts[order], sizes[order], room[order]
+    base = np.cumsum(room) - room  # a power of two of lanes each, the largest first: no group spans two blocks
+    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    item, slot = np.repeat(starts, sizes) + inside, np.repeat(base, sizes) + inside
+    who = np.zeros(-(-int(base[-1] + room[-1]) // LANES) * LANES, np.int64)
+    who[slot] = item
+    laid = np.zeros(len(who), np.uint64)
+    laid[slot] = fps[item]
+    planes = planes_of(laid)
+    lane, last = (slot % LANES).astype(np.uint64), np.repeat(((base + sizes - 1) % LANES).astype(np.uint64), sizes)
+    after = (ALL >> (np.uint64(63) - last)) & ~(ALL >> (np.uint64(63) - lane))
+    if heads:
+        item, slot, after = item[inside == 0], slot[inside == 0], after[inside == 0]
+    rows, live = within(planes, slot // LANES, fps[item], after, radius)
+    r, c = lanes_of(live)
+    return item[rows[r]], who[(slot // LANES)[rows[r]] * LANES + c]
+
+
+def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, heads: bool = False, batch: int = 64):
+    """Pairs (x, y), x before y, of equal key within the radius, some at a time; with ``heads`` x is the first of its key.
+
+    ``keys`` are grouped.
+    """
+    if not len(keys):
+        return
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.append(starts, len(keys)))
+    small = (sizes > 1) & (sizes <= LANES)
+    if small.any():
+        yield _small_pairs(fps, starts[small], sizes[small], radius, heads)
+    for first, size in zip(starts[sizes > LANES].tolist(), sizes[sizes > LANES].tolist(), strict=True):
+        planes = planes_of(fps[first : first + size])
+        for at in range(0, 1 if heads else size, batch):
+            todo = np.arange(at, 1 if heads else min(at + batch, size))
+            blocks = np.arange(at // LANES, planes.shape[1])
+            live = np.full(len(blocks), ALL)
+            live[-1] >>= np.uint64(-size % LANES)
+            rows, hit = within(planes, np.tile(blocks, len(todo)), np.repeat(fps[first + todo], len(blocks)), np.tile(live, len(todo)), radius)
+            r, c = lanes_of(hit)
+            x, y = todo[rows[r] // len(blocks)], blocks[rows[r] % len(blocks)] * LANES + c
+            yield first + x[x < y], first + y[x < y]

@@ -91,7 +91,8 @@ def test_pipeline_against_a_plain_version(spark):
 
     from rillspan.llm.labelled import sample
     from rillspan.llm.quality import QualityModel
-    from tests.llm.test_dedup import components, fingerprint, folded
+    from tests.llm.test_dedup import folded
+    from tests.llm.test_near_copies import groups
 
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     work, outs, before = Work(spark, "test"), [], docs
@@ -109,7 +110,7 @@ def test_pipeline_against_a_plain_version(spark):
     plain = sorted(best.values())
     assert sorted(tuple(r) for r in outs[1].collect()) == [rows[i] for i in plain]
 
-    roots = components([fingerprint(rows[i][1], 5) for i in plain], 6)
+    roots = groups([rows[i][1] for i in plain])  # Jaccard similarity of 0.8, comparing all
     plain = [i for k, i in enumerate(plain) if roots[k] == k]
     assert sorted(tuple(r) for r in outs[2].collect()) == [rows[i] for i in plain]
 

@@ -74,3 +74,22 @@ def test_odd_rows(spark, tmp_path):
     kept = without_near_copies(stored(spark, tmp_path)).collect()
     assert len(kept) == len(set(groups([x[1] for x in ROWS])))
     assert without_near_copies(stored(spark, tmp_path, [])).count() == 0
+
+
+def test_pairs_on_planes_are_all_pairs():
+    import numpy as np
+
+    from rillspan.llm.bitslice import near_pairs
+
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 3, 64, 65, 200, 5]
+    keys = np.repeat(np.arange(len(sizes)), sizes)
+    fps = rng.integers(0, 1 << 62, len(keys), dtype=np.uint64)
+    fps[70:] ^= fps[:1] & np.uint64(0xFF) | np.uint64(1) << rng.integers(0, 64, len(keys) - 70).astype(np.uint64)
+    for radius in (3, 24, 30):
+        near = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if keys[i] == keys[j] and int(fps[i] ^ fps[j]).bit_count() <= radius}
+        got = [(i, j) for x, y in near_pairs(keys, fps, radius) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == near
+        heads = set(np.flatnonzero(np.diff(keys, prepend=-1)).tolist())
+        got = {(i, j) for x, y in near_pairs(keys, fps, radius, heads=True) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+        assert got == {p for p in near if p[0] in heads}
