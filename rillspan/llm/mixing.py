@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillspan.llm.rows import columns_of, numbered
 from rillspan.llm.work import Work
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,10 +84,10 @@ class Mix:
         broadcast_rows: int = 50_000,
         seed: int = 20240,
     ):
-        self.block, self.seed, self.most = block, seed, most
+        self.block, self.seed, self.most, self.bucket_rows = block, seed, most, bucket_rows
         spark = df.sparkSession
         self.work = work = Work(spark, "mixing")
-        row = F.col(row_col) if row_col else F.lit(0)
+        row = F.col(row_col) if row_col else F.monotonically_increasing_id()
         sized = work.save(
             df.select(
                 row.cast("long").alias("row"),
@@ -117,7 +118,7 @@ class Mix:
             .withColumn("buckets", F.ceil(F.col("filled") / bucket_rows).cast("long"))
         )
         self.sources = work.save(sources, "sources")
-        count, slots = self.sources.agg(F.count("*"), F.coalesce(F.sum("n_slots"), F.lit(0))).first()
+        count, slots, self.rows = self.sources.agg(F.count("*"), F.coalesce(F.sum("n_slots"), F.lit(0)), F.coalesce(F.sum("filled"), F.lit(0))).first()
         self._small = F.broadcast if count <= broadcast_rows else (lambda x: x)
         self.docs = self._laid(sized)
         self.slots = self._drawn(slots, shard_slots)
@@ -127,15 +128,21 @@ class Mix:
         known = self._small(self.sources.withColumnRenamed("source", "_source"))
         docs = sized.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         self.empty = docs.filter("size = 0")
+        # an id that very many rows have (null, say) is spread by row number; no other makes a bucket large
+        limit = max(self.bucket_rows, -(-self.rows // self.bucket_rows))
+        often = sized.groupBy(F.col("source").alias("_of"), F.col("id").alias("_id")).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+        often = F.broadcast(often.select("_of", "_id", F.lit(1).alias("_often")))
+        filled = docs.filter("size > 0").join(often, F.col("source").eqNullSafe(F.col("_of")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+        h = F.xxhash64(F.lit(self.seed), "id", F.when(F.col("_often").isNotNull(), F.col("row")))
         placed = self.work.save(
-            docs.filter("size > 0").select("row", "id", "source_no", "size", "buckets", F.xxhash64(F.lit(self.seed), "id").alias("h"))
+            filled.select("row", "id", "source_no", "size", "buckets", h.alias("h"))
             .select("row", "id", "source_no", "size", "h", F.pmod("h", "buckets").alias("bucket")),
             "placed",
         )
         sums = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
         upto = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sums.select("source_no", "bucket", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("base"))
-        inside = Window.partitionBy("source_no", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        inside = Window.partitionBy("source_no", "bucket").orderBy("h", "id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
         return (
             placed.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
             .join(offsets, ["source_no", "bucket"])
@@ -252,15 +259,17 @@ class Mix:
         return taken.select(columns).unionByName(self.empty.withColumn("taken", F.lit(0).cast("long")).select(columns))
 
 
-def mixed_documents(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **options
+) -> DataFrame:
     """The mix as documents: every row as often as it is taken whole, then its words taken once more.
 
     A row's further words, those of the blocks of a last, partial pass, make
     one row whose words are joined by single spaces.  Rows keep their columns;
     ``chars_col`` is set to the new length.  ``docs`` must be a plain scan.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    mix = Mix(numbered, text_col=text_col, row_col="_row", **options)
+    whole = numbered(docs)
+    mix = Mix(columns_of(whole, id=id_col, text=text_col, source=source_col), "id", "text", "source", "row", **options)
     each = mix.parts().groupBy("row").agg(
         F.min("full").alias("copies"), F.array_sort(F.collect_list(F.struct("lo", "hi", "full", "cut"))).alias("pieces")
     )
@@ -270,14 +279,16 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", chars_col: str | No
         lambda p: p["to"] > p["lo"],
     )
     plan = each.select("row", "copies", once.alias("once")).filter((F.col("copies") > 0) | (F.size("once") > 0))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"))
+    words = F.regexp_extract_all(F.col("doc")[text_col], F.lit(f"({WORD})"))
     cut = F.array_join(F.flatten(F.transform("once", lambda p: F.slice("_words", (p["lo"] + 1).cast("int"), (p["to"] - p["lo"]).cast("int")))), " ")
-    joined = numbered.join(plan, F.col("_row") == F.col("row"))
-    whole = joined.filter("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    part = joined.filter(F.size("once") > 0).withColumn("_words", words).withColumn(text_col, cut)
+    joined = whole.join(plan, "row")
+    again = joined.filter("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    part = joined.filter(F.size("once") > 0).select("doc", "once", words.alias("_words")).select("doc", cut.alias("said"))
+    changed = {text_col: F.col("said")}
     if chars_col and chars_col in docs.columns:
-        part = part.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return whole.select(docs.columns).unionByName(part.select(docs.columns))
+        changed[chars_col] = F.length("said").cast(docs.schema[chars_col].dataType)
+    part = part.select(*(changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
+    return again.select("doc.*").unionByName(part)
 
 
 def mix_sources(df: DataFrame, **options) -> Mix:

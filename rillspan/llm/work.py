@@ -1,8 +1,8 @@
 """Materialised intermediate tables in the folder that the whole cluster shares.
 
 Long lineages are cut by writing Parquet under ``spark.checkpoint.dir`` (set by
-the cluster).  Only where that setting is absent, as in unit tests, a local
-folder is chosen and set on the session's context.
+the cluster).  Only where that setting is absent and the master is local, as in
+unit tests, a local folder is chosen and set on the session's context.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="rillspan-")
     sc.setCheckpointDir(made)
     return made
