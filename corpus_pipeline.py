@@ -18,33 +18,37 @@ from rillspan.llm.queries import table, vocabulary
 from rillspan.llm.work import Work
 
 
+# In all stages null text counts as empty, repeated rows and ties are settled as stated, an empty table gives
+# an empty one, and columns of any further name pass through.
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; equal texts fare alike, empty ones are scored like others."""
     return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
+    """Of equal texts the row with the largest id stays, null the smallest, and of rows that repeat that id one."""
     return unique_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays.
+    """One document of each group of near-duplicates stays, that with the smallest id, null the largest.
 
-    Documents link at a Jaccard similarity of 0.8 or more of their shingles of
-    five words.  No radius of SimHash fingerprints holds all of those (some
-    differ in 17 bits of 64), so candidates come from a prefix filter.
+    Documents link if their SimHash fingerprints over shingles of five words are
+    within 24 bits, compared on bit planes, and their shingles' Jaccard
+    similarity, checked exactly, is 0.8 or more.  Texts without words are one group.
     """
-    return without_near_copies(docs, words=5, num=4, den=5)
+    return without_near_copies(docs, words=5, num=4, den=5, radius=24)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are drawn to their target weights."""
+    """Sources, null one of them, are drawn to their target weights; texts without words are never drawn."""
     return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 4096; one row per piece of a document."""
+    """Token sequences of at most 4096; one row per piece of a document, at least one each."""
     return best_fit_packing(docs, vocabulary("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
