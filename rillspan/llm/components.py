@@ -28,8 +28,13 @@ def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     return handed.unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def stars(edges: DataFrame, work: Work, most: int = 60) -> DataFrame:
-    """``a, b``: every node that has links, except each component's smallest, with that smallest."""
+def stars(edges: DataFrame, work: Work, most: int = 60, whole: bool = True) -> DataFrame:
+    """``a, b``: every node that has links, except each component's smallest, with that smallest.
+
+    Unless ``whole``, the table after ``most`` - 1 rounds is given as it is: its
+    nodes are in one component with their partners, but these may differ in one
+    component, and a node may have several.
+    """
     now = work.save(edges.select("a", "b").filter("a != b").distinct(), "edges0")
     rows, seen = now.count(), None
     for turn in range(1, most):
@@ -40,4 +45,6 @@ def stars(edges: DataFrame, work: Work, most: int = 60) -> DataFrame:
         if state == seen:
             return now
         seen = state
+    if not whole:
+        return now
     raise RuntimeError(f"components did not settle in {most} rounds")

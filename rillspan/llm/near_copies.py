@@ -72,10 +72,10 @@ def common_shingles(docs: DataFrame, words: int, every: int = 10, least: int = 3
 
     drawn = docs.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").mapInArrow(scan, "key long")
     counted = drawn.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    rows = counted.orderBy(F.desc("n"), "key").limit(most).collect()
-    keys = np.array([r.key for r in rows], np.int64).view(np.uint64)
+    rows = counted.orderBy(F.desc("n"), "key").limit(most).toArrow()
+    keys = rows.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], np.array([r.n for r in rows], np.int64)[order]
+    return keys[order], rows.column("n").to_numpy()[order]
 
 
 def prefix_table(docs: DataFrame, words: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -215,8 +215,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     tried = work.save(candidates(one.withColumn("root", F.col("node")), one_for_each, num, den, radius), "tried")
     links = work.save(verified(tried, texts, words, num, den), "links")
-    star = stars(links, Work(docs.sparkSession, "near"))
-    rooted = one.join(star.withColumnsRenamed({"a": "node", "b": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # not yet whole components: they only spare comparisons
+    star = stars(links, Work(docs.sparkSession, "near"), most=3, whole=False)
+    near = star.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    rooted = one.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rest = candidates(rooted, all_apart, num, den, radius).join(tried, ["a", "b"], "left_anti")
     more = verified(work.save(rest, "rest"), texts, words, num, den)
     star = stars(star.select("a", "b").unionByName(more), work)
