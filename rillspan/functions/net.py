@@ -36,6 +36,45 @@ def in_cidr(ip: Column, cidr: str) -> Column:
     return ip.between(int(net.network_address), int(net.broadcast_address))
 
 
+def ip_key(ip: Column) -> Column:
+    """An address of either kind as 32 hexadecimal digits in numeric order, IPv4 as mapped; null for anything else."""
+    v4 = F.concat(F.lit("0" * 20 + "ffff"), F.lower(F.lpad(F.hex(ip_to_int(ip)), 8, "0")))
+    parts = F.split(F.lower(ip), "::")
+    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
+    left, right = groups(parts[0]), groups(F.when(F.size(parts) > 1, parts[1]).otherwise(F.lit("")))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
+    every = F.concat(left, F.when(F.size(parts) > 1, zeros).otherwise(F.expr("cast(array() as array<string>)")), right)
+    good = F.contains(ip, F.lit(":")) & (F.size(every) == 8) & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(ip_to_int(ip).isNotNull(), v4).when(good, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def key_bounds(cidr: str) -> tuple[str, str]:
+    """First and last ``ip_key`` of a block."""
+    import ipaddress
+
+    net = ipaddress.ip_network(cidr)
+    shift = 0xFFFF << 32 if net.version == 4 else 0
+    return f"{int(net.network_address) + shift:032x}", f"{int(net.broadcast_address) + shift:032x}"
+
+
+def located(rows: DataFrame, ranges: DataFrame, address: str, digits: int = 28) -> DataFrame:
+    """Rows with the columns of the range whose ``lo_key..hi_key`` holds their address, of either kind.
+
+    Joined by the first ``digits`` of the key where a range lies within one such
+    prefix, else by the longest prefix its ends share, one join for each length
+    that occurs among the ranges; their number is bounded by the key's length.
+    """
+    same = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.lit(0), lambda a, k: F.when((a == k - 1) & (F.substring("lo_key", 1, k) == F.substring("hi_key", 1, k)), k).otherwise(a))
+    keyed = ranges.withColumn("_len", F.least(same, F.lit(digits))).withColumn("_prefix", F.substring("lo_key", 1, F.col("_len")))
+    lengths = F.array(*map(F.lit, sorted(r[0] for r in keyed.select("_len").distinct().collect())))
+    ips = rows.select(address).distinct().withColumn("_key", ip_key(F.col(address)))
+    asked = ips.select(address, "_key", F.explode(F.transform(lengths, lambda n: F.substring("_key", F.lit(1), n))).alias("_prefix"))
+    hit = asked.join(keyed, "_prefix").filter(F.col("_key").between(F.col("lo_key"), F.col("hi_key")))
+    extra = [c for c in ranges.columns if c not in ("lo_key", "hi_key")]
+    best = hit.groupBy(address).agg(F.max_by(F.struct(*extra), "_len").alias("_found"))
+    return rows.join(best, address, "left").select(*rows.columns, *(F.col(f"_found.{c}").alias(c) for c in extra))
+
+
 def low_port_swap(df: DataFrame, a: str = "src", ap: str = "sport", b: str = "dst", bp: str = "dport") -> DataFrame:
     """Turn rows round so that the destination has the lower port."""
     swap = F.col(ap) < F.col(bp)

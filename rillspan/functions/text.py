@@ -75,6 +75,12 @@ def multipart_file(body: Column) -> Column:
     return F.struct(kind.alias("content_type"), F.regexp_extract(body, "filename=\"([^\"]*)\"", 1).alias("filename"), data.alias("data"))
 
 
+def multipart_files(body: Column) -> Column:
+    """Content type, file name and data of every file of a multipart body."""
+    rest = F.transform(F.slice(F.split(body, "filename=\""), 2, 1 << 20), lambda p: F.concat(F.lit("filename=\""), p))
+    return F.transform(rest, lambda p: multipart_file(F.concat(p, F.lit("\r\n--"))))
+
+
 def local_filename(name: Column) -> Column:
     """A name without separators; what is not printable becomes %XX."""
     chars = F.split(F.regexp_replace(name, "[\\\\/: ]", "_"), "")
@@ -124,6 +130,19 @@ def xor_bytes(data: bytes, key: bytes) -> bytes:
     return (int.from_bytes(data, "big") ^ int.from_bytes(whole, "big")).to_bytes(len(data), "big") if data else b""
 
 
+def key_bytes(key) -> bytes:
+    """A key given as bytes, a number, ``0x`` hexadecimal or quoted text."""
+    if isinstance(key, bytes):
+        return key
+    if isinstance(key, int):
+        return bytes([key & 255])
+    if key.startswith("0x"):
+        return bytes.fromhex(key[2:])
+    if key[:1] in "\"'" and key[-1:] == key[:1]:
+        return key[1:-1].encode("latin-1")
+    return bytes([int(key) & 255]) if key.isdigit() else key.encode("latin-1")
+
+
 def hex_dump(data: bytes, width: int = 16, offset: int = 0) -> str:
     """Offset, hexadecimal and printable columns."""
     lines = []

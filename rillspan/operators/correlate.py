@@ -20,6 +20,34 @@ def pair_by_key(requests: DataFrame, responses: DataFrame, key: list[str], order
     return nth(requests, "q_").join(nth(responses, "r_"), [*key, "n"], "full_outer")
 
 
+def pair_following(requests: DataFrame, responses: DataFrame, key: list[str], order: list[str], most: int | None = 1) -> DataFrame:
+    """Each response with the latest request of its key that came before it, at most ``most`` for a request.
+
+    Unanswered requests and responses without a request stay, with nulls.
+    Columns other than the key are prefixed ``q_`` and ``r_``; ``response_no``
+    counts a request's responses from 1.  One shuffle by key.
+    """
+    names = [c for c in requests.columns if c not in key]
+
+    def side(df: DataFrame, kind: int) -> DataFrame:
+        return df.select(*key, F.struct(*(F.col(c) for c in order), F.lit(kind).alias("_kind")).alias("_o"), F.lit(kind).alias("_kind"), F.struct(*names).alias("_m"))
+
+    both = side(requests, 0).unionByName(side(responses, 1))
+    upto = Window.partitionBy(*key).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    turn = both.withColumn("_turn", F.count_if(F.col("_kind") == 0).over(upto))
+    one = Window.partitionBy(*key, "_turn")
+    asked = F.first(F.when(F.col("_kind") == 0, F.col("_m")), ignorenulls=True).over(one)
+    marked = turn.withColumns({
+        "_q": asked, "_got": F.sum("_kind").over(one), "_no": F.sum("_kind").over(one.orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    answer = F.col("_kind") == 1
+    keep = F.when(answer, F.lit(True) if most is None else F.col("_q").isNull() | (F.col("_no") <= most)).otherwise(F.col("_got") == 0)
+    return marked.filter(keep).select(
+        *key, F.when(answer, F.col("_no")).alias("response_no"), *(F.col(f"_q.{c}").alias(f"q_{c}") for c in names),
+        *(F.when(answer, F.col(f"_m.{c}")).alias(f"r_{c}") for c in names),
+    )
+
+
 def pair_next(blobs: DataFrame, conn: str, order: str, is_request: Column, columns: list[str]) -> DataFrame:
     """Requests with the blob that follows on the same connection, if that is a response."""
     w = Window.partitionBy(conn).orderBy(order)

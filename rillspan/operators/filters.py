@@ -228,8 +228,11 @@ def grep_chain(rows: DataFrame, matched: DataFrame, key: list[str], invert: bool
 
 # Address blocks that are reserved or private (IANA special-purpose registry).
 RESERVED = (
-    "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24"
-    " 192.88.99.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4"
+    "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/29 192.0.2.0/24"
+    " 192.88.99.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4 255.255.255.255/32"
+).split()
+RESERVED_6 = (
+    "::/128 ::1/128 ::ffff:0:0/96 100::/64 64:ff9b::/96 2001::/32 2001:10::/28 2001:db8::/32 2002::/16 fc00::/7 fe80::/10 ff00::/8"
 ).split()
 
 
@@ -246,3 +249,14 @@ def in_reserved(ip: Column, blocks: list[str] = RESERVED) -> Column:
     for lo, hi in map(cidr_bounds, blocks):
         cond = cond | ip.between(lo, hi)
     return cond
+
+
+def is_reserved(address: Column) -> Column:
+    """Whether an address as text, of either kind, lies in a reserved block; IPv4 is judged by its own blocks."""
+    from rillspan.functions.net import ip_key, ip_to_int, key_bounds
+
+    six: Column = F.lit(False)
+    for lo, hi in map(key_bounds, RESERVED_6):
+        six = six | ip_key(address).between(lo, hi)
+    number = ip_to_int(address)
+    return F.coalesce(F.when(number.isNotNull(), in_reserved(number)).otherwise(six), F.lit(False))

@@ -64,7 +64,10 @@ class Tracker:
         self.now: dict | None = None
 
     def _open(self, p, state: str) -> None:
-        self.now = {"client": (p.sip, p.sport), "server": (p.dip, p.dport), "proto": p.proto, "start": p.ts_us, "end": p.ts_us,
+        client, server = (p.sip, p.sport), (p.dip, p.dport)
+        if p.proto == 17 and p.sport < p.dport:
+            client, server = server, client
+        self.now = {"client": client, "server": server, "proto": p.proto, "start": p.ts_us, "end": p.ts_us,
                     "state": state, "isn": {}, "blobs": []}
 
     def close(self, state: str | None = None) -> None:
@@ -135,15 +138,45 @@ class Tracker:
         return out
 
 
+def whole(packets: DataFrame, gap_s: float = 30) -> DataFrame:
+    """Packets with fragmented ones put together; those of which a part is missing go.
+
+    Fragments meet by addresses, protocol and number, no further apart than
+    ``gap_s``, as numbers are used again.
+    """
+    cut = F.coalesce(F.col("more_fragments") | (F.col("frag_offset") > 0), F.lit(False))
+    key = ["file", "sip", "dip", "proto", "ip_id"]
+    w = Window.partitionBy(*key).orderBy("ts_us", "frame_no")
+    far = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) > gap_s * 1e6, F.lit(False))
+    parts = packets.filter(cut).withColumn("_spell", F.sum(far.cast("int")).over(w)).dropDuplicates([*key, "_spell", "frag_offset"])
+    rest = [c for c in packets.columns if c not in (*key, "payload", "frag_offset", "more_fragments")]
+    joined = parts.groupBy(*key, "_spell").agg(
+        F.min_by(F.struct(*rest), "frag_offset").alias("_h"), F.array_sort(F.collect_list(F.struct("frag_offset", "payload", "more_fragments"))).alias("_s")
+    )
+    # the transport header of the first fragment is parsed already; it is as long as what its data lacks
+    head = F.when(F.size("_s") > 1, F.col("_s")[1]["frag_offset"] - F.length(F.col("_s")[0]["payload"]))
+    ends = F.aggregate(
+        F.slice("_s", 2, F.size("_s")), F.col("_s")[1]["frag_offset"].cast("long"),
+        lambda a, x: F.when(a == x["frag_offset"], a + F.length(x["payload"])).otherwise(F.lit(-1).cast("long")),
+    )
+    fits = F.when(F.col("proto") == 17, head == 8).when(F.col("proto") == 6, head.between(20, 60)).otherwise(head == 0)
+    complete = joined.filter((F.size("_s") > 1) & (F.col("_s")[0]["frag_offset"] == 0) & fits & ~F.element_at("_s", -1)["more_fragments"]).filter(ends >= 0)
+    data = F.aggregate("_s", F.lit(b""), lambda a, x: F.concat(a, x["payload"]))
+    made = complete.select(*key, "_h.*", data.alias("payload"), F.lit(0).alias("frag_offset"), F.lit(False).alias("more_fragments"))
+    return packets.filter(~cut).unionByName(made.select(packets.columns))
+
+
 def connections(packets: DataFrame, idle_tcp_s: float = 300, idle_udp_s: float = 60, ignore_handshake: bool = False, gaps: str = "pad", max_blobs: int | None = None) -> DataFrame:
     """Blobs of every connection; one without data has one row with a null blob.
 
-    Packets meet by their unordered endpoints, so both directions are together.
+    Fragments are put together first.  Packets meet by their unordered
+    endpoints, so both directions are together.  A UDP exchange's server is the
+    side with the lower port.
     Idle gaps split an endpoint pair's traffic before it is grouped, so a group
     is one busy spell, not all that two machines ever said.
     """
     a, b = F.concat_ws(":", "sip", "sport"), F.concat_ws(":", "dip", "dport")
-    keyed = packets.filter(F.col("proto").isin(6, 17) & (F.col("frag_offset") == 0)).withColumn(
+    keyed = whole(packets.filter(F.col("proto").isin(6, 17))).withColumn(
         "_pair", F.concat_ws("|", F.least(a, b), F.greatest(a, b), "proto", "file")
     )
     pair = Window.partitionBy("_pair")

@@ -11,7 +11,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -211,6 +211,30 @@ def packets(frames_: DataFrame, strip: int = 0) -> DataFrame:
     return frames_.select("file", "frame_no", "ts_us", "linktype", "raw").mapInPandas(run, PACKETS)
 
 
+def frames_of(files: DataFrame) -> DataFrame:
+    """Frames of captures given as ``path, content``."""
+    return _frames_of(files)
+
+
+def as_captures(frames_: DataFrame, part_bytes: int = 1 << 28) -> DataFrame:
+    """``path, content``: captures of each ``file``'s frames in order of time.
+
+    A file of more than ``part_bytes`` is cut: its further parts are named
+    ``-0001`` and so on before the ending.
+    """
+    w = Window.partitionBy("file").orderBy("ts_us", "frame_no").rowsBetween(Window.unboundedPreceding, 0)
+    part = F.floor(F.sum(F.length("raw") + 16).over(w) / part_bytes)
+    suffix = F.when(F.col("_part") > 0, F.concat(F.lit("-"), F.lpad(F.col("_part").cast("string"), 4, "0"))).otherwise("")
+    named = frames_.withColumn("_part", part).withColumn("path", F.concat(F.regexp_replace("file", r"(\.[^./]*)$", ""), suffix, F.regexp_extract("file", r"(\.[^./]*)$", 1)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts_us", "frame_no"])
+        content = write_capture(list(zip(pdf["ts_us"].tolist(), map(bytes, pdf["raw"]), strict=True)), int(pdf["linktype"].iloc[0]))
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [content]})
+
+    return named.select("path", "ts_us", "frame_no", "linktype", "raw").groupBy("path").applyInPandas(run, "path string, content binary")
+
+
 def write_capture(records: list[tuple[int, bytes]], linktype: int = 1) -> bytes:
     """A classic capture file of ``(ts_us, raw)`` records."""
     head = struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, linktype)

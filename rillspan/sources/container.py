@@ -12,7 +12,12 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillspan.operators import tcp
+from rillspan.sources import capture
 
 HEAD = struct.Struct("<I4s4sHHI")
 BLOBS = (
@@ -32,16 +37,22 @@ class Connection:
     ordinals: list[int] = field(default_factory=list)
 
 
+def piece(c: Connection) -> bytes:
+    """One connection's bytes; none for an empty connection, which is not stored."""
+    if not sum(len(d) for _, d in c.blobs):
+        return b""
+    head = HEAD.pack(len(c.blobs), socket.inet_aton(c.client_ip), socket.inet_aton(c.server_ip), c.client_port, c.server_port, c.start_s)
+    order = struct.pack(f"<I{len(c.ordinals)}I", len(c.ordinals), *c.ordinals)
+    return head + order + b"".join(struct.pack("<cI", b"c" if d == "cs" else b"s", len(x)) + x for d, x in c.blobs)
+
+
+def trailer(parts: list[bytes]) -> bytes:
+    return struct.pack(f"<{len(parts)}II", *map(len, parts), len(parts))
+
+
 def dump(connections: list[Connection]) -> bytes:
-    parts = []
-    for c in connections:
-        if not sum(len(d) for _, d in c.blobs):
-            continue  # empty connections are not stored
-        head = HEAD.pack(len(c.blobs), socket.inet_aton(c.client_ip), socket.inet_aton(c.server_ip), c.client_port, c.server_port, c.start_s)
-        order = struct.pack(f"<I{len(c.ordinals)}I", len(c.ordinals), *c.ordinals)
-        body = b"".join(struct.pack("<cI", b"c" if d == "cs" else b"s", len(x)) + x for d, x in c.blobs)
-        parts.append(head + order + body)
-    return b"".join(parts) + struct.pack(f"<{len(parts)}II", *map(len, parts), len(parts))
+    parts = [p for p in map(piece, connections) if p]
+    return b"".join(parts) + trailer(parts)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, Connection, list[int]]]:
@@ -65,9 +76,12 @@ def parse(data: bytes) -> Iterator[tuple[int, Connection, list[int]]]:
 
 def read_containers(spark: SparkSession, path: str, glob: str = "*.ap", recursive: bool = False) -> DataFrame:
     """Blobs of every container below a path, each at its byte offset in the file."""
-    import pandas as pd
-
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return parsed(files.select("path", "content"))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """Blobs of containers given as ``path, content``."""
     names = [c.split()[0] for c in BLOBS.split(", ")]
 
     def run(batches):
@@ -83,8 +97,52 @@ def read_containers(spark: SparkSession, path: str, glob: str = "*.ap", recursiv
     return files.select("path", "content").mapInPandas(run, BLOBS)
 
 
-def export(conn: Connection, form: str, offset: int = 0) -> str:
-    """A connection in one of the export formats."""
+def build(captures: DataFrame, done: DataFrame | None = None, **options) -> DataFrame:
+    """Containers ``path, content`` of captures given likewise, but for those whose path is in ``done``.
+
+    Connections are laid out wherever they were put together; only a file's
+    finished pieces meet.  IPv6 connections have no place in the format.
+    """
+    if done is not None:
+        captures = captures.join(done.select("path"), "path", "left_anti")
+    blobs = tcp.connections(capture.packets(capture.frames_of(captures)), **options).filter("data is not null and not contains(client_ip, ':')")
+    conn = ["conn_key", "conn_no", "client_ip", "server_ip", "client_port", "server_port", "start_us"]
+    file = F.substring_index(F.split_part("conn_key", F.lit("|"), F.lit(4)), "|", 1)
+    whole = blobs.groupBy(*conn).agg(
+        F.array_sort(F.collect_list(F.struct("blob_no", "direction", "data"))).alias("blobs"), F.array_sort(F.flatten(F.collect_list("frames"))).alias("ordinals")
+    ).withColumn("path", file)
+
+    def lay(batches):
+        for pdf in batches:
+            rows = []
+            for c in pdf.itertuples(index=False):
+                one = Connection(c.client_ip, c.server_ip, c.client_port, c.server_port, c.start_us // 1_000_000, [(b["direction"], bytes(b["data"])) for b in c.blobs], list(map(int, c.ordinals)))
+                rows.append((c.path, c.start_us, f"{c.conn_key}#{c.conn_no}", piece(one)))
+            yield pd.DataFrame(rows, columns=["path", "start_us", "conn", "piece"])
+
+    pieces = whole.mapInPandas(lay, "path string, start_us long, conn string, piece binary").filter("length(piece) > 0")
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [bytes(x) for x in pdf.sort_values(["start_us", "conn"])["piece"]]
+        return pd.DataFrame({"path": [pdf["path"].iloc[0] + ".ap"], "content": [b"".join(parts) + trailer(parts)]})
+
+    return pieces.groupBy("path").applyInPandas(join, "path string, content binary")
+
+
+def exported(blobs: DataFrame, form: str) -> DataFrame:
+    """``path, conn, text``: every connection in one of the export formats."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("blob_no")
+        r = pdf.iloc[0]
+        one = Connection(r["client_ip"], r["server_ip"], r["client_port"], r["server_port"], r["start_s"], [(d, bytes(x)) for d, x in zip(pdf["direction"], pdf["data"], strict=True)])
+        return pd.DataFrame({"path": [r["path"]], "conn": [r["conn"]], "text": [export(one, form, int(r["conn_start"]), pdf["start"].tolist())]})
+
+    return blobs.groupBy("path", "conn").applyInPandas(run, "path string, conn long, text string")
+
+
+def export(conn: Connection, form: str, offset: int = 0, starts: list[int] | None = None) -> str:
+    """A connection in one of the export formats; ``loc`` gives where each blob's data begins and ends."""
     from rillspan.functions.patterns import escape
     from rillspan.functions.text import c_literal, hex_dump
 
@@ -100,6 +158,8 @@ def export(conn: Connection, form: str, offset: int = 0) -> str:
         # a replay transcript: what to send, and what came back
         keep = conn.blobs if form == "pythondiff" else [b for b in conn.blobs if b[0] == "cs"]
         return "\n".join(f"{'send' if d == 'cs' else 'expect'}({x!r})" for d, x in keep)
+    if form == "loc":
+        return "\n".join(f"{a}\t{a + len(x)}" for a, (_, x) in zip(starts or [], conn.blobs, strict=True))
     if form == "locconn":
         return f"{offset}\t{conn.client_ip}:{conn.client_port}\t{conn.server_ip}:{conn.server_port}"
     raise ValueError(f"unknown format {form!r}")

@@ -9,12 +9,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_FIELD = re.compile(r"%\((\w+)(?::(\w+))?\)([-#0 +]*\d*(?:\.\d+)?)([a-zA-Z])|%%")
+_FIELD = re.compile(r"%\((\w+)(?::(\w+))?\)([-#0 +]*\d*(?:\.\d+)?)(timestamp|datetime|inet|host|cidr|macaddr|[a-zA-Z])|%%")
 
 # Column types that format characters and names stand for.
 SQL_TYPES = {
-    "s": "string", "c": "string", "d": "int", "i": "int", "f": "decimal(18,6)", "b": "boolean", "timestamp": "timestamp",
-    "datetime": "timestamp", "inet": "string", "host": "string", "cidr": "string", "macaddr": "string",
+    "s": "string", "c": "string", "d": "int", "i": "int", "u": "int", "x": "int", "f": "decimal(18,6)", "e": "decimal(18,6)", "g": "decimal(18,6)",
+    "b": "boolean", "t": "timestamp", "D": "timestamp", "I": "string", "H": "string", "C": "string", "M": "string",
+    "timestamp": "timestamp", "datetime": "timestamp", "inet": "string", "host": "string", "cidr": "string", "macaddr": "string",
 }
 ARROWS = {"cs": "->", "sc": "<-"}
 
@@ -35,7 +36,7 @@ def parse_format(form: str) -> tuple[str, list[Field]]:
         if m[0] == "%%":
             return "%%"
         fields.append(Field(m[1], m[2] or m[1], m[3], m[4]))
-        kind = {"i": "d", "u": "d"}.get(m[4], m[4])
+        kind = {"i": "d", "u": "d"}.get(m[4], m[4] if m[4] in "sdxfegc" else "s")
         return f"%{m[3]}{kind}"
 
     return _FIELD.sub(one, form), fields
@@ -45,9 +46,9 @@ def _typed(field: Field, null: str, present: bool) -> Column:
     if not present:
         return F.lit(null)
     c = F.col(field.name)
-    if field.kind in "diu":
+    if field.kind in ("d", "i", "u", "x"):
         return c.cast("long")
-    if field.kind in "feg":
+    if field.kind in ("f", "e", "g"):
         return c.cast("double")
     return F.coalesce(c.cast("string"), F.lit(null))
 
@@ -109,11 +110,15 @@ def write_xml(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     marked.write.mode(mode).format("xml").option("rootTag", "alerts").option("rowTag", "alert").save(path)
 
 
+def typed_columns(df: DataFrame, form: str) -> DataFrame:
+    """Fields of a format as columns of the types that its kinds stand for."""
+    _, fields = parse_format(form)
+    return df.select(*(F.col(f.name).cast(SQL_TYPES.get(f.kind, "string")).alias(f.column) for f in fields))
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, form: str, **properties: str) -> None:
     """Fields of a format as typed columns, appended; the table is made if missing."""
-    _, fields = parse_format(form)
-    columns = [F.col(f.name).cast(SQL_TYPES.get(f.kind, "string")).alias(f.column) for f in fields]
-    df.select(*columns).write.mode("append").jdbc(url, table, properties=properties)
+    typed_columns(df, form).write.mode("append").jdbc(url, table, properties=properties)
 
 
 def write_sessions(blobs: DataFrame, path: str, session: str, order: str, direction: str, data: str, which: str = "both", mode: str = "errorifexists") -> None:
@@ -154,12 +159,13 @@ def write_anonymised(packets: DataFrame, path: str, key: str, network: str = "10
 
 
 def flow_lines(flows: DataFrame) -> DataFrame:
-    """The fixed-width line of a flow record."""
-    form = "%s  %15s -> %15s  %5s %6s %6s %5d %5d %7d %7d %-.4fs"
+    """The fixed-width line of a flow record, countries ``--`` where they are not known."""
+    geo = lambda c: F.coalesce(F.col(c), F.lit("--")) if c in flows.columns else F.lit("--")
+    form = "%s  %15s -> %15s  (%s -> %s)  %5s %6s %6s %5d %5d %7d %7d %.4fs"
     seconds = F.col("end_time").cast("double") - F.col("start_time").cast("double")
     return flows.select(
         F.format_string(
-            form, F.date_format("start_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "client_ip", "server_ip", "proto", "client_port", "server_port",
+            form, F.date_format("start_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "client_ip", "server_ip", geo("clientcc"), geo("servercc"), "proto", "client_port", "server_port",
             "client_packets", "server_packets", "client_bytes", "server_bytes", seconds,
         ).alias("line")
     )
