@@ -2,8 +2,7 @@
 
 Each round lets every node hand its larger (then its smaller) neighbours to the
 smallest node it knows.  Rounds are joins and map-side combined minima, written
-to the shared folder; nothing is gathered on the driver but a checksum.  Nodes
-with very many neighbours are settled map-side, so no task gets all of them.
+to the shared folder; nothing is gathered on the driver but a checksum.
 """
 
 from __future__ import annotations
@@ -11,21 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillspan.llm.skew import join_counted
 from rillspan.llm.work import Work
 
 
-def _large_star(edges: DataFrame, rows: int) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    return join_counted(both.filter("b > a"), least, "a", 2 * rows).select(F.col("b").alias("a"), F.col("m").alias("b"))
-
+def _round(edges: DataFrame, work: Work) -> DataFrame:
+    """One large and one small star.
 
-def _small_star(edges: DataFrame, rows: int) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    handed = join_counted(down, least, "a", rows).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return handed.unionByName(least.select("a", F.col("m").alias("b")))
+    The minima are written before they are joined: so both sides of each join
+    are plain shuffles, and adaptive execution can deal a centre with very many
+    neighbours to several tasks.
+    """
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = work.save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    large = work.save(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
+    least = work.save(large.groupBy("a").agg(F.min("b").alias("m")), "lesser")
+    handed = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    turned = handed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return turned.unionByName(least.select("a", F.col("m").alias("b")))
 
 
 def stars(edges: DataFrame, work: Work, most: int = 60, whole: bool = True) -> DataFrame:
@@ -36,12 +37,12 @@ def stars(edges: DataFrame, work: Work, most: int = 60, whole: bool = True) -> D
     component, and a node may have several.
     """
     now = work.save(edges.select("a", "b").filter("a != b").distinct(), "edges0")
-    rows, seen = now.count(), None
+    seen = None
     for turn in range(1, most):
-        made = work.save(_small_star(_large_star(now, rows), rows).distinct(), f"edges{turn}")
+        made = work.save(_round(now, work).distinct(), f"edges{turn}")
         work.drop(f"edges{turn - 1}")
         state = made.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        now, rows = made, state[0]
+        now = made
         if state == seen:
             return now
         seen = state

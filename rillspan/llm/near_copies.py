@@ -38,7 +38,6 @@ from rillspan.llm.bitslice import near_pairs
 from rillspan.llm.components import stars
 from rillspan.llm.rows import columns_of, numbered, staying
 from rillspan.llm.simhash import SEED
-from rillspan.llm.skew import join_counted
 from rillspan.llm.work import Work
 
 
@@ -207,27 +206,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = work.save(prefix_table(narrow, words, num, den, common_shingles(narrow, words)), "prefixes")
     # nulls sort last; the row number settles repeated ids
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
-    nodes = work.save(found.groupBy("node").agg(best, F.count("*").alias("rows")), "nodes")
-    distinct, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    nodes = work.save(found.groupBy("node").agg(best), "nodes")
     chosen = nodes.select(F.col("best.row").alias("row"))
     one = found.join(chosen, "row", "left_semi").select("node", "n", "fp", F.posexplode("prefix").alias("pos", "key"))
     texts = narrow.join(nodes.select(F.col("best.row").alias("row"), "node"), "row").select("node", "text")
 
+    work.release()
     tried = work.save(candidates(one.withColumn("root", F.col("node")), one_for_each, num, den, radius), "tried")
     links = work.save(verified(tried, texts, words, num, den), "links")
+    work.release()
     # not yet whole components: they only spare comparisons
     star = stars(links, Work(docs.sparkSession, "near"), most=3, whole=False)
     near = star.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     rooted = one.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rest = candidates(rooted, all_apart, num, den, radius).join(tried, ["a", "b"], "left_anti")
     more = verified(work.save(rest, "rest"), texts, words, num, den)
+    work.release()
     star = stars(star.select("a", "b").unionByName(more), work)
 
     # as in simhash_groups
-    grouped = nodes.join(star, nodes["node"] == star["a"], "left").select("node", "best", "rows", F.coalesce("b", "node").alias("root"))
-    first = grouped.groupBy("root").agg(F.min("best").alias("first"), F.count("*").alias("n"))
-    settled = join_counted(grouped.select("node", "rows", "root"), first, "root", distinct).select("node", "first", F.col("rows").alias("n"))
-    return join_counted(found.select("row", "id", "node"), settled, "node", rows).select(
+    grouped = nodes.join(star, nodes["node"] == star["a"], "left").select("node", "best", F.coalesce("b", "node").alias("root"))
+    first = work.save(grouped.groupBy("root").agg(F.min("best").alias("first")), "first")
+    settled = work.save(grouped.select("node", "root").join(first, "root").select("node", "first"), "settled")
+    return found.select("row", "id", "node").join(settled, "node").select(
         "row", "id", F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept")
     )
 

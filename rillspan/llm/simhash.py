@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from rillspan.llm.components import stars
 from rillspan.llm.rows import columns_of, numbered, staying
-from rillspan.llm.skew import join_counted
 from rillspan.llm.work import Work
 
 SEED = 42
@@ -172,17 +171,14 @@ def simhash_groups(
     docs = work.save(fingerprint_table(narrow, words), "fingerprints")
     # nulls sort last; the row number settles repeated ids
     nodes = work.save(
-        docs.groupBy("fp").agg(
-            F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.count("*").alias("rows")
-        ),
-        "nodes",
+        docs.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")), "nodes"
     )
-    distinct, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    star = stars(near_links(nodes.select("fp"), radius, bands or bands_for(distinct, radius)), work)
-    rooted = nodes.join(star, nodes["fp"] == star["a"], "left").select("fp", "best", "rows", F.coalesce("b", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("best").alias("first"), F.count("*").alias("n"))
-    found = join_counted(rooted.select("fp", "rows", "root"), best, "root", distinct).select("fp", "first", F.col("rows").alias("n"))
-    return join_counted(docs, found, "fp", rows).select(
+    star = stars(near_links(nodes.select("fp"), radius, bands or bands_for(nodes.count(), radius)), work)
+    rooted = nodes.join(star, nodes["fp"] == star["a"], "left").select("fp", "best", F.coalesce("b", "fp").alias("root"))
+    # minima and results are written before they are joined, so that large groups can be dealt to several tasks
+    best = work.save(rooted.groupBy("root").agg(F.min("best").alias("first")), "best")
+    found = work.save(rooted.select("fp", "root").join(best, "root").select("fp", "first"), "found")
+    return docs.join(found, "fp").select(
         "row",
         "id",
         "fp",
