@@ -37,6 +37,8 @@ def stars(edges: DataFrame, work: Work, most: int = 60, whole: bool = True) -> D
     component, and a node may have several.
     """
     now = work.save(edges.select("a", "b").filter("a != b").distinct(), "edges0")
+    if now.isEmpty():
+        return now
     seen = None
     for turn in range(1, most):
         made = work.save(_round(now, work).distinct(), f"edges{turn}")

@@ -9,15 +9,18 @@ window that covers it has the same words as a window that starts earlier
    the one at the same place in the other.
 2. Probing: every rolling half-window of every document is looked up in that
    index.  Half-windows equal to an anchor elsewhere are hits.
-3. Extension: windows that contain a hit are compared over their whole length;
-   all but the first of equal windows are repeats.  Runs of repeats are the
-   maximal exact repeats, given as word spans.
+3. Extension: a hit reaches up to half a window to either side, so windows that
+   contain one are compared over their whole length, by a 96-bit identity of
+   their words; all but the first of equal windows are repeats.  Runs of repeats
+   are the maximal exact repeats, given as word spans.  (Two different windows
+   of 10^11 have equal identities with a chance of about 10^-7.)
 
 Rows travel between steps as packed arrays, one per batch of documents and hash
 bucket, a few bytes a window.  Within a batch equal half-windows or windows are
 settled at once and only one of them is sent, so a passage that a third of all
 documents share reaches its bucket once per batch.  The number of buckets
-follows the input; no pairs of occurrences are ever formed.
+follows the input, as does that of the groups of what only passes a step; no
+pairs of occurrences are ever formed.
 
 Defined results: null text has no words; documents of fewer than ``window`` words
 keep all; null ids come after all others; repeated rows follow each other in
@@ -117,6 +120,12 @@ def _split(order: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndar
             yield int(bucket[part[0]]), part
 
 
+def passing(numbers: list[int], buckets: int) -> list[int]:
+    """Buckets below zero for what only passes a step, as many as the others, so that their share does not grow."""
+    spread = mixed(np.array(numbers, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)
+    return (-1 - spread.astype(np.int64)).tolist()
+
+
 def probe_messages(batches, half: int, window: int, buckets: int, max_words: int, max_docs: int):
     for group in _grouped(batches, max_words, max_docs, ["row"]):
         group = [g for g in group if len(g[0]) >= window]
@@ -139,7 +148,7 @@ def probe_messages(batches, half: int, window: int, buckets: int, max_words: int
         sent = np.sort(order[first])
         batch = int(rows[0])
         head = struct.pack("<II", len(rows), len(local)) + rows.tobytes() + starts.astype("<u4").tobytes() + local.tobytes()
-        names, blobs = [-1 - batch % 4096], [head]
+        names, blobs = passing([batch], buckets), [head]
         bucket = (h[sent] >> np.uint64(40)) % np.uint64(buckets)
         for b, part in _split(np.lexsort((sent, ~anchor[sent], bucket)), bucket):
             who = sent[part]
@@ -237,7 +246,7 @@ def window_messages(batches, half: int, window: int, buckets: int, max_words: in
         plain = [g for g in group if not g[3]]
         if plain:
             yield _message(
-                bucket=[-1 - g[1] % 4096 for g in plain], kind=[WHOLE] * len(plain), batch=[0] * len(plain),
+                bucket=passing([g[1] for g in plain], buckets), kind=[WHOLE] * len(plain), batch=[0] * len(plain),
                 row=[g[1] for g in plain], id=[g[2] for g in plain], n=[len(g[0]) for g in plain], payload=[sha(g[0]) for g in plain],
             )
         group = [g for g in group if g[3]]
@@ -264,7 +273,7 @@ def window_messages(batches, half: int, window: int, buckets: int, max_words: in
         first = np.ones(len(order), bool)
         first[1:] = (key[order][1:] != key[order][:-1]) | (second[order][1:] != second[order][:-1])
         again, sent = np.sort(order[~first]), np.sort(order[first])
-        names = [-1 - batch % 4096] * (1 + len(group))
+        names = passing([batch], buckets) * (1 + len(group))
         kinds = [LOCAL] + [DOCUMENT] * len(group)
         rows, ids, ns = [batch] + [g[1] for g in group], [None] + [g[2] for g in group], [0, *range(len(group))]
         blobs = [doc[again].astype("<u2").tobytes() + start[again].astype("<u4").tobytes()] + [b" ".join(g[0]) for g in group]
