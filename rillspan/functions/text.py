@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,3 +176,21 @@ def base64_decode(text: str) -> bytes | None:
         return base64.b64decode(text, validate=True)
     except ValueError:
         return None
+
+
+def over_bytes(one):
+    """A column function that applies a function of bytes to text in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: None if x is None else one(bytes(x)))
+
+    return run
+
+
+def strtok(text: Column, between: str = ";", within: str = "=") -> Column:
+    """Words of a text, and a map of those of the form key = value."""
+    words = F.filter(F.transform(F.split(text, between), lambda w: F.trim(w)), lambda w: w != "")
+    pairs = F.filter(words, lambda w: F.contains(w, F.lit(within)))
+    keyed = F.map_from_entries(F.transform(pairs, lambda w: F.struct(F.trim(F.split_part(w, F.lit(within), F.lit(1))), F.trim(F.substring(w, F.instr(w, within) + F.lit(len(within)), F.length(w))))))
+    return F.struct(F.filter(words, lambda w: ~F.contains(w, F.lit(within))).alias("words"), keyed.alias("pairs"))

@@ -57,7 +57,7 @@ def netflow_groups(flows: DataFrame, a: str, b: str, measures: dict[str, Column]
     aggs = [c.alias(n) for n, c in measures.items()]
     if first is not None:
         aggs.append(F.min_by(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), first).alias("orientation"))
-    return flows.groupBy(lo.alias("peer_lo"), hi.alias("peer_hi")).agg(*aggs)
+    return flows.groupBy(lo.alias("peer_lo"), hi.alias("peer_hi")).agg(*aggs).orderBy("peer_lo", "peer_hi")
 
 
 SEQUENCE = 1 << 32

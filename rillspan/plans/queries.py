@@ -133,17 +133,6 @@ def autocomplete_trimmed(spark, sf):
     return search.trim_to_blob(hits, held, 23)
 
 
-@query("""WITH b AS (SELECT *, strpos(text, 'the') - 1 AS off, lag(text) OVER w AS p, lead(text) OVER w AS n
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, CAST(off AS INT) AS off,
-  CASE WHEN off < 50 AND p IS NOT NULL THEN right(p, 50 - off) || '|' ELSE '' END || substring(text, greatest(off - 50, 0) + 1, least(off, 50)) AS before,
-  substring(text, off + 4, 30) || CASE WHEN length(text) - off - 3 < 30 AND n IS NOT NULL
-    THEN '|' || left(n, 30 - (length(text) - off - 3)) ELSE '' END AS after
-FROM b WHERE off >= 0""")
-def hit_context(spark, sf):
-    return search.hit_context(table(spark, sf, "conversations"), "the", "conv_id", "turn", "role", "text")
-
-
 @query("""WITH b AS (SELECT *, lag(text) OVER w AS p, lead(text) OVER w AS n, CASE WHEN role = 'user' THEN '<-' ELSE '->' END AS arrow
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 a AS (SELECT *, lag(arrow) OVER w AS pa, lead(arrow) OVER w AS na FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -155,7 +144,7 @@ SELECT conv_id, turn, off,
   substring(text, off + 4, 30) || CASE WHEN length(text) - off - 3 < 30 AND n IS NOT NULL
     THEN na || left(n, 30 - (length(text) - off - 3)) ELSE '' END AS after
 FROM h""")
-def hit_contexts(spark, sf):
+def hit_context(spark, sf):
     return search.hit_contexts(table(spark, sf, "conversations"), "the", "conv_id", "turn", "role", "text", client="user")
 
 
@@ -260,7 +249,7 @@ def netflow_groups(spark, sf):
 
 
 SEGMENTS = """n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-s AS (SELECT user_id, (n % 40) * 4 AS o, event_id, lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0') AS data FROM n WHERE n % 7 <> 3)"""
+s AS (SELECT user_id, (n - n % 3 // 2 + n // 7) * 4 AS o, event_id, lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0') AS data FROM n)"""
 
 
 @query(f"""WITH {SEGMENTS}, one AS (SELECT user_id, o, arg_max(data, event_id) AS data FROM s GROUP BY user_id, o),
@@ -268,11 +257,13 @@ span AS (SELECT user_id, unnest(generate_series(min(o), max(o), 4)) AS o FROM on
 SELECT user_id, string_agg(coalesce(data, '....'), '' ORDER BY o) AS data, bool_or(data IS NULL) AS has_gap
 FROM span LEFT JOIN one USING (user_id, o) GROUP BY user_id""")
 def reassemble_segments(spark, sf):
+    """Every event is a segment; every third is sent again, and each seventh leaves a hole behind it."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    segments = table(spark, sf, "events").withColumn("n", n).filter("n % 7 <> 3").select(
-        "user_id", (F.col("n") % 40 * 4).alias("o"), "event_id", F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0").alias("data")
+    place = (F.col("n") - F.floor(F.col("n") % 3 / 2) + F.floor(F.col("n") / 7)) * 4
+    segments = table(spark, sf, "events").withColumn("n", n).select(
+        "user_id", place.alias("o"), "event_id", F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0").alias("data")
     )
     return flows.reassemble(segments, ["user_id"], "o", "event_id", "data", gaps="pad", fill=".")
 
@@ -358,7 +349,10 @@ def new_files_only(spark, sf):
 
 
 IP_SQL = "CAST((CAST(l_orderkey AS HUGEINT) * 2654435761 + l_linenumber * 40503) % 4294967296 AS BIGINT)"
-RESERVED_SQL = " OR ".join(f"ip BETWEEN {lo} AND {hi}" for lo, hi in map(filters.cidr_bounds, filters.RESERVED))
+RESERVED_SQL = """ip < 16777216 OR ip BETWEEN 167772160 AND 184549375 OR ip BETWEEN 1681915904 AND 1686110207 OR ip BETWEEN 2130706432 AND 2147483647
+  OR ip BETWEEN 2851995648 AND 2852061183 OR ip BETWEEN 2886729728 AND 2887778303 OR ip BETWEEN 3221225472 AND 3221225479 OR ip BETWEEN 3221225984 AND 3221226239
+  OR ip BETWEEN 3227017984 AND 3227018239 OR ip BETWEEN 3232235520 AND 3232301055 OR ip BETWEEN 3323068416 AND 3323199487 OR ip BETWEEN 3325256704 AND 3325256959
+  OR ip BETWEEN 3405803776 AND 3405804031 OR ip >= 3758096384"""
 
 
 def addresses(spark, sf):
@@ -411,67 +405,42 @@ alert tcp any any -> any any (msg:"early"; content:"THE"; nocase; offset:2; dept
 alert tcp any any -> any any (msg:"near"; content:"the"; content:"and"; distance:0; within:60;)
 alert tcp any any -> any any (msg:"hex"; content:"|0a|The";)
 ''')
-RULE_SQL = [
+EVERY_SQL = [
     "(strpos(substring(lower(text), 3), 'the') > 0 AND strpos(substring(lower(text), 3), 'the') + 2 <= 60)",
-    "(strpos(text, 'the') > 0 AND strpos(substring(text, strpos(text, 'the') + 3), 'and') BETWEEN 1 AND 58)",
+    "regexp_matches(text, '(?s)the.{0,57}and')",
     "(strpos(text, chr(10) || 'The') > 0)",
 ]
 
 
-EVERY_SQL = [RULE_SQL[0], "regexp_matches(text, '(?s)the.{0,57}and')", RULE_SQL[2]]
-
-
-def rule_columns(first_only=True):
-    return [filters.rule_predicate(r, data="text", proto="proto", first_only=first_only) for r in RULES]
+def rule_columns():
+    return [filters.rule_predicate(r, data="text", proto="proto") for r in RULES]
 
 
-def with_rules(spark, sf, mode, first_only=True):
+def with_rules(spark, sf, mode):
     docs = table(spark, sf, "documents").withColumn("proto", F.lit("tcp"))
-    return filters.apply_rules(docs, rule_columns(first_only), mode).select("doc_id")
+    return filters.apply_rules(docs, rule_columns(), mode).select("doc_id")
 
 
-@query(f"SELECT doc_id FROM documents WHERE {' OR '.join(RULE_SQL)}")
+@query(f"SELECT doc_id FROM documents WHERE {' OR '.join(EVERY_SQL)}")
 def rule_any(spark, sf):
     return with_rules(spark, sf, "any")
 
 
-@query(f"SELECT doc_id FROM documents WHERE {' AND '.join(RULE_SQL)}")
+@query(f"SELECT doc_id FROM documents WHERE {' AND '.join(EVERY_SQL)}")
 def rule_all(spark, sf):
     return with_rules(spark, sf, "all")
 
 
-@query(f"SELECT doc_id FROM documents WHERE NOT ({' OR '.join(RULE_SQL)})")
+@query(f"SELECT doc_id FROM documents WHERE NOT ({' OR '.join(EVERY_SQL)})")
 def rule_none(spark, sf):
     return with_rules(spark, sf, "none")
 
 
-@query(f"""SELECT doc_id, CASE WHEN {RULE_SQL[0]} THEN 'early' WHEN {RULE_SQL[1]} THEN 'near' ELSE 'hex' END AS rule
-FROM documents WHERE {' OR '.join(RULE_SQL)}""")
-def rule_first(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("proto", F.lit("tcp"))
-    return filters.first_rule(docs, rule_columns(), [r.message for r in RULES]).select("doc_id", "rule")
-
-
-@query(f"SELECT doc_id FROM documents WHERE {' OR '.join(EVERY_SQL)}")
-def rule_any_every(spark, sf):
-    return with_rules(spark, sf, "any", first_only=False)
-
-
-@query(f"SELECT doc_id FROM documents WHERE {' AND '.join(EVERY_SQL)}")
-def rule_all_every(spark, sf):
-    return with_rules(spark, sf, "all", first_only=False)
-
-
-@query(f"SELECT doc_id FROM documents WHERE NOT ({' OR '.join(EVERY_SQL)})")
-def rule_none_every(spark, sf):
-    return with_rules(spark, sf, "none", first_only=False)
-
-
 @query(f"""SELECT doc_id, CASE WHEN {EVERY_SQL[0]} THEN 'early' WHEN {EVERY_SQL[1]} THEN 'near' ELSE 'hex' END AS rule
 FROM documents WHERE {' OR '.join(EVERY_SQL)}""")
-def rule_first_every(spark, sf):
+def rule_first(spark, sf):
     docs = table(spark, sf, "documents").withColumn("proto", F.lit("tcp"))
-    return filters.first_rule(docs, rule_columns(first_only=False), [r.message for r in RULES]).select("doc_id", "rule")
+    return filters.first_rule(docs, rule_columns(), [r.message for r in RULES]).select("doc_id", "rule")
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)

@@ -6,6 +6,7 @@ import html
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,14 +87,30 @@ def json_lines(df: DataFrame, fields: list[str] | None = None, geo: bool = True,
 CSV_FIELDS = ["decoder", "datetime", "sip", "sport", "dip", "dport"]
 
 
-def write_csv(df: DataFrame, path: str, extra: list[str] | None = None, delimiter: str = ",", header: bool = True, mode: str = "errorifexists") -> None:
-    """Default fields, then ``field[:type]`` arguments; ``delimiter`` may be ``tab``."""
+def csv_lines(df: DataFrame, extra: list[str] | None = None, delimiter: str = ",", keep: list[str] | None = None) -> DataFrame:
+    """``line``: the default fields, then ``field[:type]`` arguments, as CSV; ``delimiter`` may be ``tab``."""
+    options = {"sep": "\t" if delimiter == "tab" else delimiter}
+    return df.select(*(keep or []), F.to_csv(F.struct(*_csv_columns(df, extra)), options).alias("line"))
+
+
+def xml_lines(df: DataFrame, fields: list[str], blobs: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``line``: an ``alert`` element, its fields as attributes, an array of blobs as elements in it."""
+    parts = [F.col(c).cast("string").alias(f"_{c}") for c in fields] + ([F.col(blobs).alias("blob")] if blobs else [])
+    return df.select(*(keep or []), F.to_xml(F.struct(*parts), {"rowTag": "alert"}).alias("line"))
+
+
+def _csv_columns(df: DataFrame, extra: list[str] | None) -> list[Column]:
     columns = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in CSV_FIELDS]
     for spec in extra or []:
         name, _, kind = spec.partition(":")
         c = F.col(name)
         columns.append(c.cast(SQL_TYPES.get(kind, kind)).alias(name) if kind else c)
-    df.select(*columns).write.mode(mode).csv(path, sep="\t" if delimiter == "tab" else delimiter, header=header)
+    return columns
+
+
+def write_csv(df: DataFrame, path: str, extra: list[str] | None = None, delimiter: str = ",", header: bool = True, mode: str = "errorifexists") -> None:
+    """Default fields, then ``field[:type]`` arguments; ``delimiter`` may be ``tab``."""
+    df.select(*_csv_columns(df, extra)).write.mode(mode).csv(path, sep="\t" if delimiter == "tab" else delimiter, header=header)
 
 
 def write_text(df: DataFrame, path: str, form: str, mode: str = "errorifexists") -> None:
@@ -121,26 +138,37 @@ def write_jdbc(df: DataFrame, url: str, table: str, form: str, **properties: str
     typed_columns(df, form).write.mode("append").jdbc(url, table, properties=properties)
 
 
-def write_sessions(blobs: DataFrame, path: str, session: str, order: str, direction: str, data: str, which: str = "both", mode: str = "errorifexists") -> None:
-    """One folder per session (and per direction with ``split``), data in order."""
+def session_texts(blobs: DataFrame, session: str, order: str, direction: str, data: str, which: str = "both") -> DataFrame:
+    """Each session's data in order, per direction with ``split``, or of one direction alone."""
     if which not in ("both", "split", "cs", "sc"):
         raise ValueError("which must be both, split, cs or sc")
     rows = blobs.filter(F.col(direction) == which) if which in ("cs", "sc") else blobs
     parts = [session, direction] if which == "split" else [session]
-    joined = rows.groupBy(*parts).agg(
+    return rows.groupBy(*parts).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, data))), lambda x: x[data]), "").alias("value")
     )
+
+
+def write_sessions(blobs: DataFrame, path: str, session: str, order: str, direction: str, data: str, which: str = "both", mode: str = "errorifexists") -> None:
+    """One folder per session (and per direction with ``split``), data in order."""
+    parts = [session, direction] if which == "split" else [session]
+    joined = session_texts(blobs, session, order, direction, data, which)
     joined.write.mode(mode).partitionBy(*parts).text(path)
 
 
-def write_files(files: DataFrame, path: str, name: str = "name", data: str = "data", order: list[str] | None = None, mode: str = "errorifexists") -> DataFrame:
-    """Extracted files as a table of ``local_name, md5, size, data``; names are made safe and unique."""
+def extracted_files(files: DataFrame, name: str = "name", data: str = "data", order: list[str] | None = None) -> DataFrame:
+    """Files as ``local_name, md5, size, data``; names are made safe and unique."""
     from rillspan.functions.text import local_filename, unique_filenames
 
     safe = files.withColumn("_safe", local_filename(F.col(name)))
-    named = unique_filenames(safe, "_safe", order or [name]).select(
+    return unique_filenames(safe, "_safe", order or [name]).select(
         "local_name", F.md5(data).alias("md5"), F.length(data).cast("long").alias("size"), F.col(data).cast("binary").alias("data")
     )
+
+
+def write_files(files: DataFrame, path: str, name: str = "name", data: str = "data", order: list[str] | None = None, mode: str = "errorifexists") -> DataFrame:
+    """Extracted files as a table of ``local_name, md5, size, data``; names are made safe and unique."""
+    named = extracted_files(files, name, data, order)
     named.write.mode(mode).parquet(path)
     return files.sparkSession.read.parquet(path)
 
@@ -194,3 +222,13 @@ def coloured(direction: str, data: bytes, mode: str = "tty", hexadecimal: bool =
 
 
 SINKS = {"text": write_text, "csv": write_csv, "json": write_json, "xml": write_xml, "jdbc": write_jdbc, "session": write_sessions, "files": write_files}
+
+
+def coloured_column(direction: Column, data: Column, mode: str = "html") -> Column:
+    """``coloured`` over a table: text of each blob in the colour of its direction."""
+
+    @F.pandas_udf("string")
+    def run(d: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else coloured(a, bytes(b), mode) for a, b in zip(d, x, strict=True)], dtype=object)
+
+    return run(direction, data)
