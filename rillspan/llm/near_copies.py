@@ -13,7 +13,8 @@ then in twenty, too many for keys made of untouched bands (``simhash``).  So:
 3. Fingerprints of a block are compared on bit planes (``bitslice``) within
    ``radius`` bits.  First each key's members with one of them, another for each
    key; then those still in different components with each other, so large
-   groups of copies do not cost all their pairs.
+   groups of copies do not cost all their pairs.  Of these, pairs go whose
+   bitmaps of 1024 bits differ in more bits than sets of that similarity can.
 4. What is within the radius is verified on the whole sets.
 5. Components of the links come from alternating stars (``components``).
 
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillspan.llm.bitslice import near_pairs
@@ -50,6 +51,13 @@ def fingerprint(s: np.ndarray, budget: int = 1 << 16) -> int:
     return int(np.packbits(2 * ones > len(s), bitorder="little").view("<u8")[0])
 
 
+def bitmap(s: np.ndarray, size: int = 1024) -> bytes:
+    """The bits that some member of a set hashes to."""
+    bits = np.zeros(size, np.uint8)
+    bits[(s >> np.uint64(17)) % np.uint64(size)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct XXH64 of the shingles; fewer words make one shingle of the whole."""
     from xxhash import xxh64_intdigest
@@ -78,7 +86,7 @@ def common_shingles(docs: DataFrame, words: int, every: int = 10, least: int = 3
 
 
 def prefix_table(docs: DataFrame, words: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``row, id, node, n, fp, prefix``: equal sets have equal nodes, fingerprints and prefixes."""
+    """``row, id, node, n, fp, bits, prefix``: equal sets have equal nodes, fingerprints, bitmaps and prefixes."""
     from xxhash import xxh64_intdigest
 
     keys, counts = common
@@ -87,7 +95,7 @@ def prefix_table(docs: DataFrame, words: int, num: int, den: int, common: tuple[
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                nodes, sizes, prefixes, fps = [], [], [], []
+                nodes, sizes, prefixes, fps, bitmaps = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     s = shingle_set(text, words)
                     often = np.zeros(len(s), np.int64)
@@ -98,19 +106,20 @@ def prefix_table(docs: DataFrame, words: int, num: int, den: int, common: tuple[
                     nodes.append(xxh64_intdigest(s.tobytes(), SEED))
                     sizes.append(len(s))
                     fps.append(fingerprint(s))
+                    bitmaps.append(bitmap(s))
                     prefixes.append(s[np.lexsort((s, often))[:first]].view(np.int64))
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 flat = np.concatenate(prefixes)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("row"), part.column("id"), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                        pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                        pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bitmaps, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                     ],
-                    ["row", "id", "node", "n", "fp", "prefix"],
+                    ["row", "id", "node", "n", "fp", "bits", "prefix"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(scan, f"row long, id {kind}, node long, n int, fp long, prefix array<long>")
+    return docs.mapInArrow(scan, f"row long, id {kind}, node long, n int, fp long, bits binary, prefix array<long>")
 
 
 def _possible(n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -119,7 +128,7 @@ def _possible(n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray, num:
     return fits & ((num + den) * np.minimum(n[x] - pos[x], n[y] - pos[y]).astype(np.int64) >= num * (n[x] + n[y]).astype(np.int64))
 
 
-def one_for_each(key, node, n, pos, fp, root, num: int, den: int, radius: int):
+def one_for_each(key, node, n, pos, fp, root, bits, num: int, den: int, radius: int):
     """Pairs of each key's members with one of them, which differs from key to key."""
     mixed = (node ^ key).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
@@ -130,21 +139,25 @@ def one_for_each(key, node, n, pos, fp, root, num: int, den: int, radius: int):
         yield x[stay], y[stay]
 
 
-def all_apart(key, node, n, pos, fp, root, num: int, den: int, radius: int):
-    """Pairs of a key's members in different components."""
+def all_apart(key, node, n, pos, fp, root, bits, num: int, den: int, radius: int):
+    """Pairs of a key's members in different components whose bitmaps allow the similarity."""
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(starts, len(key)))
     apart = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), sizes)
     order = np.flatnonzero(apart)
     for x, y in near_pairs(key[order], fp[order].view(np.uint64), radius):
         x, y = order[x], order[y]
-        stay = (root[x] != root[y]) & _possible(n, pos, x, y, num, den)
+        stay = np.flatnonzero((root[x] != root[y]) & _possible(n, pos, x, y, num, den))
+        x, y = x[stay], y[stay]
+        # every differing bit stands for a shingle that the two do not share
+        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+        stay = (num + den) * apart <= (den - num) * (n[x].astype(np.int64) + n[y])
         yield x[stay], y[stay]
 
 
 def candidates(postings: DataFrame, pick, num: int, den: int, radius: int) -> DataFrame:
-    """``a, b``: distinct pairs of nodes that ``pick`` takes of each key; postings have ``key, node, n, pos, fp, root``."""
-    names = ["key", "node", "n", "pos", "fp", "root"]
+    """``a, b``: distinct pairs of nodes that ``pick`` takes of each key; postings have ``key, node, n, pos, fp, root, bits``."""
+    names = ["key", "node", "n", "pos", "fp", "root", "bits"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -160,7 +173,8 @@ def candidates(postings: DataFrame, pick, num: int, den: int, radius: int) -> Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([batch.column(c).to_numpy() for c in names])
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            held.append([*(batch.column(c).to_numpy() for c in names[:-1]), bits])
             size += batch.num_rows
             if size < 100_000:
                 continue
@@ -208,17 +222,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     nodes = work.save(found.groupBy("node").agg(best), "nodes")
     chosen = nodes.select(F.col("best.row").alias("row"))
-    one = found.join(chosen, "row", "left_semi").select("node", "n", "fp", F.posexplode("prefix").alias("pos", "key"))
+    each = found.join(chosen, "row", "left_semi").select("node", "n", "fp", F.posexplode("prefix").alias("pos", "key"))
+    # most keys have one member, which meets nobody
+    members = F.count("*").over(Window.partitionBy("key"))
+    shared = work.save(each.withColumn("members", members).filter("members > 1").drop("members"), "shared")
+    bits = nodes.select("node", F.col("best.row").alias("row")).join(found.select("row", "bits"), "row").select("node", "bits")
     texts = narrow.join(nodes.select(F.col("best.row").alias("row"), "node"), "row").select("node", "text")
 
     work.release()
-    tried = work.save(candidates(one.withColumn("root", F.col("node")), one_for_each, num, den, radius), "tried")
+    tried = work.save(candidates(shared.select("*", F.col("node").alias("root"), F.lit(b"\0" * 8).alias("bits")), one_for_each, num, den, radius), "tried")
     links = work.save(verified(tried, texts, words, num, den), "links")
     work.release()
-    # not yet whole components: they only spare comparisons
-    star = stars(links, Work(docs.sparkSession, "near"), most=3, whole=False)
+    star = stars(links, Work(docs.sparkSession, "near"))
     near = star.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    rooted = one.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    told = bits.join(near, "node", "left").select("node", "bits", F.coalesce("root", "node").alias("root"))
+    rooted = shared.join(told, "node")
     rest = candidates(rooted, all_apart, num, den, radius).join(tried, ["a", "b"], "left_anti")
     more = verified(work.save(rest, "rest"), texts, words, num, den)
     work.release()
