@@ -1,10 +1,13 @@
 """Frames made from the sample tables, so that queries run from bytes on a wire to records.
 
-All expressions are built in; a frame is put together as hexadecimal digits.
+A frame is put together as hexadecimal digits.
 """
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -241,36 +244,36 @@ def little(x: Column, size_: int) -> Column:
     return F.concat(*(num(F.shiftright(x.cast("long"), 8 * k).bitwiseAND(F.lit(255)), 1) for k in range(size_)))
 
 
-def smb_message(command: int, mid: int, reply: bool, uid: Column, words: Column, data: Column, status=0) -> Column:
+def _smb(command: int, mid: int, reply: bool, uid: int, words: bytes = b"\0\0", data: bytes = b"", status: int = 0) -> bytes:
     """One message with its NetBIOS length."""
-    status = status if isinstance(status, Column) else F.lit(status)
-    body = F.concat(
-        F.lit("ff534d42"), num(command, 1), little(status, 4), F.lit("88" if reply else "08"), F.repeat(F.lit("00"), 14), little(F.lit(5), 2), little(F.lit(1), 2), little(uid, 2),
-        little(F.lit(mid), 2), num(size(words) / 2, 1), words, little(size(data), 2), data,
-    )
-    return F.concat(F.lit("00"), num(size(body), 3), body)
+    head = b"\xffSMB" + struct.pack("<BIB", command, status, 0x88 if reply else 8) + bytes(14) + struct.pack("<HHHH", 5, 1, uid, mid)
+    body = head + struct.pack("<B", len(words) // 2) + words + struct.pack("<H", len(data)) + data
+    return struct.pack(">I", len(body)) + body
+
+
+def _smb_talk(part: int, uid: int, text: str) -> list[tuple[str, bytes]]:
+    fid, half = struct.pack("<H", part % 60000), len(text) // 2
+    name = f"{'PSEXEC' if part % 10 == 0 else 'part'}{part}".encode("utf-16-le") + b"\0\0"
+    write = lambda mid, at, x: _smb(0x2F, mid, False, uid, bytes(4) + fid + struct.pack("<I", at) + bytes(10) + struct.pack("<HH", len(x), 63) + bytes(4), x.encode())
+    return [
+        ("cs", _smb(0xA2, 1, False, uid, bytes(48), name)), ("sc", _smb(0xA2, 1, True, uid, bytes(5) + fid + bytes(1), status=0xC0000034 if part % 7 == 0 else 0)),
+        ("cs", write(2, half, text[half:]) + write(3, 0, text[:half])), ("sc", _smb(0x2F, 2, True, uid) + _smb(0x2F, 3, True, uid)),
+        ("cs", _smb(0x2E, 4, False, uid, bytes(4) + fid + bytes(4))), ("sc", _smb(0x2B, 99, True, uid) if part % 5 == 0 else _smb(0x2E, 4, True, uid)),
+        ("cs", _smb(0x04, 5, False, uid, fid + bytes(4))), ("sc", _smb(0x04, 5, True, uid)),
+    ]
 
 
 def smb_frames(spark: SparkSession, sf: str) -> DataFrame:
     """A connection for each part: a file is opened, written twice, read and closed; every seventh opening fails."""
-    p = F.col("p_partkey")
-    fid, uid, said = p % 60000, F.col("p_size"), F.col("p_type")
-    utf16 = F.hex(F.encode(F.when(p % 10 == 0, F.concat(F.lit("PSEXEC"), p)).otherwise(F.concat(F.lit("part"), p)), "UTF-16LE"))
-    fails = F.when(p % 7 == 0, 0xC0000034).otherwise(0)
-    zeros = lambda n: F.repeat(F.lit("00"), n)
-    write = lambda mid, at, x: smb_message(0x2F, mid, False, uid, F.concat(zeros(4), little(fid, 2), little(at, 4), zeros(10), little(F.octet_length(x), 2), little(F.lit(35 + 28), 2), zeros(4)), txt(x))
-    half = F.floor(F.length(said) / 2).cast("int")
-    first, second = F.substring(said, F.lit(1), half), F.substring(said, half + 1, F.length(said))
-    done = lambda command, mid: smb_message(command, mid, True, uid, F.lit("0000"), F.lit(""))
-    by_fid = lambda command, mid, lead: smb_message(command, mid, False, uid, F.concat(zeros(lead), little(fid, 2), zeros(22 - lead)), F.lit(""))
-    messages = [
-        ("cs", smb_message(0xA2, 1, False, uid, zeros(48), F.concat(utf16, F.lit("0000")))), ("sc", smb_message(0xA2, 1, True, uid, F.concat(zeros(5), little(fid, 2), zeros(1)), F.lit(""), fails)),
-        ("cs", F.concat(write(2, half, second), write(3, F.lit(0), first))), ("sc", F.concat(done(0x2F, 2), done(0x2F, 3))),
-        ("cs", by_fid(0x2E, 4, 4)), ("sc", F.when(p % 5 == 0, done(0x2B, 99)).otherwise(done(0x2E, 4))), ("cs", by_fid(0x04, 5, 0)), ("sc", done(0x04, 5)),
-    ]
-    every = F.array(*(F.struct(F.lit(n).cast("long").alias("n"), F.lit(d).alias("dir"), x.alias("said")) for n, (d, x) in enumerate(messages)))
-    rows = table(spark, sf, "part").select(p, F.explode(every).alias("x")).select(p, "x.*")
-    return tcp_frames(rows.select(
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(int(k), n, d, x.hex().upper()) for k, uid, text in pdf.itertuples(index=False) for n, (d, x) in enumerate(_smb_talk(int(k), int(uid), text))]
+            yield pd.DataFrame(rows, columns=["p", "n", "dir", "said"])
+
+    p = F.col("p")
+    said = table(spark, sf, "part").select("p_partkey", "p_size", "p_type").mapInPandas(run, "p long, n long, dir string, said string")
+    return tcp_frames(said.select(
         F.lit("smb").alias("file"), p.alias("c"), (F.lit(ip4("10.4.0.0")) + p).alias("cip"), F.lit(5000).alias("cport"), F.lit(ip4("10.4.255.1")).alias("sip"), F.lit(445).alias("sport"), "n", "dir", "said",
         (p * 1_000_000 + F.col("n") * 1000 + 10_000_000).alias("ts_us"), F.lit(True).alias("opens"),
     ))
