@@ -142,8 +142,10 @@ def whole(packets: DataFrame, gap_s: float = 30) -> DataFrame:
     """Packets with fragmented ones put together; those of which a part is missing go.
 
     Fragments meet by addresses, protocol and number, no further apart than
-    ``gap_s``, as numbers are used again.
+    ``gap_s``, as numbers are used again.  Tables without fragments' columns pass.
     """
+    if not {"more_fragments", "ip_id"} <= set(packets.columns):
+        return packets
     cut = F.coalesce(F.col("more_fragments") | (F.col("frag_offset") > 0), F.lit(False))
     key = ["file", "sip", "dip", "proto", "ip_id"]
     w = Window.partitionBy(*key).orderBy("ts_us", "frame_no")

@@ -192,7 +192,10 @@ def test_http():
 
 def test_ftp():
     lines = [("cs", "USER u"), ("sc", "331"), ("cs", "PASS p"), ("sc", "230"), ("cs", "CWD pub"), ("sc", "250"), ("cs", "CWD no"), ("sc", "550"), ("cs", "RETR f.txt")]
-    assert protocols.ftp_fold(lines) == [{"command": "RETR", "file": "f.txt", "path": "/pub", "user": "u", "password": "p"}]
+    nowhere = {"ip": None, "port": None, "at": None}
+    assert protocols.ftp_fold(lines) == [{"command": "RETR", "file": "f.txt", "path": "/pub", "user": "u", "password": "p"} | nowhere]
+    lines = [("sc", "227 ok (10,0,0,1,4,2)", 7), ("cs", "STOR a", 8), ("sc", "229 ok (|||99|)", 9), ("cs", "RETR b", 10)]
+    assert [(t["ip"], t["port"], t["at"]) for t in protocols.ftp_fold(lines)] == [("10.0.0.1", 1026, 7), ("10.0.0.1", 99, 9)]
 
 
 def test_tftp_dhcp():

@@ -55,8 +55,8 @@ def test_config():
 def test_chains(spark):
     rows = [(n, "10.0.0.1", 1000, "10.0.0.2", p, 6, 4, None, d) for n, (p, d) in enumerate([(80, "GET secret"), (80, "GET x"), (22, "secret")])]
     df = spark.createDataFrame(rows, "n int, sip string, sport int, dip string, dport int, proto int, version int, vlan int, data string")
-    got = registry.run_chain(df, "grep+web:mine", {"grep": {"expression": "secret"}})
-    assert [(r.n, r.decoder) for r in got.collect()] == [(0, "mine")]
+    got = registry.run_chain(df, "grep+ip:mine", {"grep": {"expression": "secret"}}, extend="port 80")
+    assert [(r.n, r.decoder, r.data) for r in got.collect()] == [(0, "mine", "10.0.0.1 -> 10.0.0.2")]
     assert registry.run_chain(df, "grep", {"grep": {"expression": "secret", "invert": True}}).count() == 1
     assert registry.run_chain(df, "merge", limit=2).count() == 2
     with pytest.raises(ValueError, match="only end"):
@@ -65,7 +65,7 @@ def test_chains(spark):
         registry.run_chain(df, "grep", {"grep": {"nope": 1}})
     with pytest.raises(ValueError, match="unknown"):
         registry.parse_chain("nope")
-    assert ("dns", "DNS port", "udp and port 53") in registry.listed()
+    assert ("dns", "DNS questions and answers", "udp and port 53") in registry.listed()
 
 
 def test_manifest(spark, tmp_path):
