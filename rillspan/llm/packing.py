@@ -22,12 +22,14 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +46,10 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity:
 
         ids_of = encoder(tokenizer, False)
         for batch in batches:
-            keys, rows = batch.column("id"), []
-            for lo in range(0, batch.num_rows, 500):
-                for n, blob in enumerate(ids_of.encode(batch.column("text").slice(lo, 500).to_pylist()), lo):
+            keys, text, rows = batch.column("id"), batch.column("text"), []
+            groups = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy()) >> 22  # about 4 MB of text at a time
+            for lo, hi in itertools.pairwise([0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]):
+                for n, blob in enumerate(ids_of.encode(text.slice(lo, hi - lo).to_pylist()), lo):
                     ids = memoryview(blob + tail)
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

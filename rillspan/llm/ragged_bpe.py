@@ -5,6 +5,9 @@ sequence finds its lowest-rank adjacent pair and merges all of that pair's
 occurrences simultaneously; sequences without a mergeable pair leave the
 arrays.  The symbols that survive are the tokens.
 
+Texts of ordinary Latin characters are cut into words by array operations on
+their bytes; runs with any other character by the tokenizer's own rules.
+
 The result equals that of the tokenizer file's own library; the file is read,
 never changed.
 """
@@ -12,11 +15,14 @@ never changed.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 NONE = np.iinfo(np.int32).max
 
@@ -30,6 +36,33 @@ PLAIN = re.compile(
     "|[^\\sa-z0-9À-ÖØ-öø-ſ]+"
 )
 
+# the same for bytes of UTF-8: what each byte is part of
+BLANK, LETTER, DIGIT, OTHER, HOLE, STRANGE = range(6)
+
+
+def _byte_kinds() -> bytes:
+    kinds = bytearray([STRANGE]) * 256
+    kinds[0] = HOLE
+    kinds[0x21:0x7F] = bytes([OTHER]) * 0x5E
+    kinds[0x30:0x3A] = bytes([DIGIT]) * 10
+    for letters in (range(0x41, 0x5B), range(0x61, 0x7B), range(0x80, 0xC0), range(0xC3, 0xC6)):
+        kinds[letters.start : letters.stop] = bytes([LETTER]) * len(letters)
+    for blank in b"\t\n\v\f\r ":
+        kinds[blank] = BLANK
+    return bytes(kinds)
+
+
+def _lower_pairs() -> np.ndarray:
+    """Lower case of two-byte letters by their low 11 bits, or 0 where the character is odd."""
+    low = np.zeros((0x800, 2), np.uint8)
+    for c in map(chr, range(0xC0, 0x180)):
+        if not ODD.search(c):
+            low[ord(c)] = list(c.lower().encode())
+    return low
+
+
+BYTE_KINDS, LOWER_PAIRS = _byte_kinds(), _lower_pairs()
+
 
 def _byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -109,7 +142,7 @@ class RaggedBpe:
             last = np.zeros(len(sym), bool)
             last[ends - 1] = True
             left = at[at > 0] - 1
-            todo = np.unique(np.concatenate((at, left)))
+            todo = np.concatenate((at, left))  # a few twice, which costs less than finding them
             todo = todo[~last[todo]]
             rank[todo] = self.ranks(sym[todo], sym[todo + 1])
             rank[ends - 1] = NONE
@@ -145,16 +178,61 @@ def pieces_of(text: str, size: int = 1 << 20) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def chunks_of(text: str) -> list[str]:
-    """Runs without ASCII white space; a token never spans two of them."""
-    if ODD.search(text) is None:
-        return text.split()
-    return [c for c in BLANKS.split(text) if c]
+def odd_parts(raw: list[bytes]) -> list[int]:
+    """Numbers of the texts that hold an ``ODD`` character."""
+    joined = b" ".join(raw)
+    data = np.frombuffer(joined, np.uint8)
+    kinds = np.frombuffer(joined.translate(BYTE_KINDS), np.uint8)
+    lead = np.flatnonzero(data >= 0xC3)
+    lead = lead[kinds[lead] == LETTER]
+    pairs = (data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F
+    at = [np.flatnonzero(kinds >= HOLE), lead[LOWER_PAIRS[pairs, 0] == 0]]
+    if b"<|" in joined:
+        at.append(np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|"))))
+    ends = np.cumsum([len(x) + 1 for x in raw])
+    return np.unique(np.searchsorted(ends, np.concatenate(at), "right")).tolist()
+
+
+def plain_words(joined: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The words that ``PLAIN`` finds in lower-cased UTF-8, and where each starts.
+
+    A zero byte between blanks is a word by itself; there are no other odd characters.
+    """
+    kinds = np.frombuffer(joined.translate(BYTE_KINDS), np.uint8)
+    data = np.frombuffer(bytearray(joined.lower()), np.uint8)
+    lead = np.flatnonzero(data >= 0xC3)
+    if len(lead):
+        pairs = (data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F
+        data[lead], data[lead + 1] = LOWER_PAIRS[pairs].T
+    full = kinds != BLANK
+    start = kinds == DIGIT
+    start[:1] = True
+    start[1:] |= kinds[1:] != kinds[:-1]
+    start &= full
+    # 's 't 'm 'd 're 've 'll, where the apostrophe does not go on a run of signs
+    quote = np.flatnonzero(data == ord("'"))
+    quote = quote[start[quote]]
+    if len(quote):
+        after = np.concatenate((data, np.zeros(2, np.uint8)))
+        one, two = after[quote + 1], after[quote + 2]
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        short = (one == ord("s")) | (one == ord("t")) | (one == ord("m")) | (one == ord("d"))
+        start[quote[short | long] + 1] = False
+        rest = np.concatenate((quote[short] + 2, quote[long] + 3))
+        rest = rest[rest < len(data)]
+        start[rest] = full[rest]
+    packed = data[full]
+    bounds = np.append(np.flatnonzero(start[full]), len(packed))
+    words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(packed)])
+    return words, np.flatnonzero(start)
 
 
 class Encoder:
-    """Tokens of texts by way of a bounded cache of chunks and words.
+    """Tokens of texts by way of a bounded cache of words.
 
+    Texts lie end to end as bytes, are cut into words by array operations and
+    looked up by distinct word.  Runs between white space that hold an odd
+    character are cut by the tokenizer's own rules, each standing as one word.
     ``counts`` keeps numbers of tokens, otherwise little-endian 32-bit ids.
     """
 
@@ -165,15 +243,9 @@ class Encoder:
         self.words: dict[bytes | int, int | bytes] = {}
         self.chunks: dict[str, int | bytes] = {}
 
-    def learn(self, lists: Iterable[list[str]]) -> None:
-        """Put the chunks of these lists into the cache."""
-        if len(self.chunks) > self.limit:
-            self.chunks.clear()
-        if len(self.words) > self.limit:
-            self.words.clear()
-        new = list(set().union(*lists).difference(self.chunks))
-        split = list(map(self.bpe.pre_tokens, new))
-        missing = list(set().union(*split).difference(self.words))
+    def learn(self, words: Iterable[bytes | int]) -> None:
+        """Put these words into the cache."""
+        missing = list(set(words).difference(self.words))
         for word in [w for w in missing if isinstance(w, int)]:
             self.words[word] = 1 if self.counts else word.to_bytes(4, "little")
         missing = [w for w in missing if isinstance(w, bytes)]
@@ -184,38 +256,82 @@ class Encoder:
             else:
                 blob, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(lens)).tolist()
                 self.words.update(zip(names, (blob[e - 4 * n : e] for e, n in zip(ends, lens.tolist(), strict=True)), strict=True))
+
+    def learn_chunks(self, chunks: Iterable[str]) -> None:
+        """Put these runs without white space into the cache."""
+        new = list(set(chunks).difference(self.chunks))
+        split = list(map(self.bpe.pre_tokens, new))
+        self.learn(itertools.chain.from_iterable(split))
         get = self.words.__getitem__
         if self.counts:
             self.chunks.update((c, sum(map(get, s))) for c, s in zip(new, split, strict=True))
         else:
             self.chunks.update((c, b"".join(map(get, s))) for c, s in zip(new, split, strict=True))
-        self.long = [c for c in new if len(c) > self.LONG]
-        self.long_words = [w for w in missing if len(w) > self.LONG]
 
-    def encode(self, texts: list[str | None], budget: int = 1 << 20) -> list[int | bytes]:
+    def forget(self, words: Iterable[bytes | int], chunks: Iterable[str]) -> None:
+        """Keep the cache bounded: these long entries go, and everything once there is too much."""
+        for c in chunks:
+            self.chunks.pop(c, None)
+        for w in words:
+            self.words.pop(w, None)
+        if len(self.chunks) > self.limit:
+            self.chunks.clear()
+        if len(self.words) > self.limit:
+            self.words.clear()
+
+    def tokens(self, parts: list[str]) -> list[int | bytes]:
+        """Per part its number of tokens or its ids."""
+        raw = [p.encode() for p in parts]
+        odd: list[str] = []
+        for n in odd_parts(raw):
+            chunks = [c for c in BLANKS.split(parts[n]) if c]
+            strange = [ODD.search(c) is not None for c in chunks]
+            odd += itertools.compress(chunks, strange)
+            raw[n] = " ".join("\0" if s else c for c, s in zip(chunks, strange, strict=True)).encode()
+        found, starts = plain_words(b" ".join(raw))
+        coded = found.dictionary_encode()
+        known, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        values = list(map(self.words.get, known))
+        new = [w for w, v in zip(known, values, strict=True) if v is None]
+        self.learn(new)
+        values = [self.words[w] if v is None else v for w, v in zip(known, values, strict=True)]
+        long = pc.indices_nonzero(pc.greater(pc.binary_length(coded.dictionary), self.LONG)).to_pylist()
+        long_words: list[bytes | int] = [known[n] for n in long]
+        long_chunks = {c for c in odd if len(c) > self.LONG}
+        if odd:
+            self.learn_chunks(odd)
+            which = np.where(which == known.index(b"\0"), -1, which)
+            which[which < 0] = np.arange(len(known), len(known) + len(odd))
+            values += map(self.chunks.__getitem__, odd)
+            long_words += (w for c in long_chunks for w in self.bpe.pre_tokens(c))
+        self.forget(long_words, long_chunks)
+        first = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in raw)]))
+        if self.counts:
+            total = np.concatenate(([0], np.cumsum(np.array(values, np.int64)[which])))
+            return np.diff(total[first]).tolist()
+        ids = pa.array(values, pa.large_binary()).take(pa.array(which))
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[first].tolist()
+        blob = memoryview(ids.buffers()[2] or b"")
+        return [bytes(blob[a:b]) for a, b in itertools.pairwise(ends)]
+
+    def encode(self, texts: list[str | None], budget: int = 1 << 22) -> list[int | bytes]:
         """Per text its number of tokens or its ids; memory follows ``budget``, not the batch."""
         out: list[int | bytes] = []
         empty: int | bytes = 0 if self.counts else b""
-        group: list[tuple[int, list[str]]] = []
+        group: list[tuple[int, str]] = []
         size = 0
 
         def flush() -> None:
             nonlocal size
-            self.learn(c for _, c in group)
-            get = self.chunks.__getitem__
-            for n, cs in group:
-                out[n] += sum(map(get, cs)) if self.counts else b"".join(map(get, cs))
-            for c in self.long:
-                del self.chunks[c]
-            for w in self.long_words:
-                del self.words[w]
+            for (n, _), made in zip(group, self.tokens([p for _, p in group]), strict=True):
+                out[n] += made
             group.clear()
             size = 0
 
         for n, text in enumerate(texts):
             out.append(empty)
             for part in pieces_of(text or ""):
-                group.append((n, chunks_of(part)))
+                group.append((n, part))
                 size += len(part)
                 if size >= budget:
                     flush()

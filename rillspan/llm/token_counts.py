@@ -1,9 +1,9 @@
 """Token counts of whole texts by rank-synchronous array merging.
 
-Texts are read in Arrow batches.  Runs of characters between white space are
-looked up in a bounded per-worker cache; those not yet seen are pre-tokenised
-and merged together on ragged numpy arrays (``ragged_bpe``), and the symbols
-that survive are counted.  No shuffle; memory follows a fixed character budget,
+Texts are read in Arrow batches and cut into words by array operations; distinct
+words are looked up in a bounded per-worker cache; those not yet seen are merged
+together on ragged numpy arrays (``ragged_bpe``), and the symbols that survive
+are counted.  No shuffle; memory follows a fixed character budget,
 not the batch or the length of a text.
 
 Defined results: null text is empty (0 bytes, 0 tokens); null ids pass through;

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from rillspan.llm.packing import best_fit_decreasing, best_fit_packing, lower_bound, pack
-from rillspan.llm.ragged_bpe import Encoder, pieces_of
+from rillspan.llm.ragged_bpe import ODD, PLAIN, Encoder, RaggedBpe, odd_parts, pieces_of, plain_words
 from rillspan.llm.token_counts import token_counts
 from rillspan.llm.work import Work
 from tests.llm.helpers import ROWS, SCHEMA, SF, stored
@@ -36,6 +36,33 @@ def test_encoder_equals_the_library(library):
     assert Encoder(PATH, True, limit=50).encode(texts, budget=500) == list(map(len, want))
 
 
+def test_array_splitting_equals_the_pattern():
+    r = random.Random(4)
+    plain = ["".join(r.choice("abstdrvelmDRVELMST'''' \t\n019!.,-<ÉéÀŸžſß") for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    plain += ["", "'", "a'", "'s", "''s", "'re've", "!'ll", "'Ll'same", "<", " "]
+    want = [[w.encode() for w in PLAIN.findall(t.lower())] for t in plain]
+    assert [plain_words(t.encode())[0].to_pylist() for t in plain] == want
+    texts = [*map(chr, [*range(0x500), 0x2028, 0x1F642]), "a<|b", "<a|", "a\0b", "<"]
+    assert odd_parts([t.encode() for t in texts]) == [n for n, t in enumerate(texts) if ODD.search(t)]
+
+
+def test_plain_texts_are_never_split_one_run_at_a_time(monkeypatch, library):
+    """op1_best_fit_packing spent most of its CPU seconds on that."""
+    monkeypatch.setattr(RaggedBpe, "pre_tokens", None)
+    texts = [f"Don't 'stop' at {n}: élan-{n * n}, it's\tfine!" for n in range(300)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(PATH, False).encode(texts, budget=2000)] == want
+    assert Encoder(PATH, True).encode(texts) == list(map(len, want))
+
+
+def test_the_cache_stays_bounded():
+    cache = Encoder(PATH, False, limit=100)
+    for lo in range(0, 400, 50):
+        cache.encode([f"w{'abcdefghij'[n % 10] * (n // 10)} ½{n} " + "y" * 300 + " ½" + "z" * 300 for n in range(lo, lo + 50)])
+        assert len(cache.words) <= 100 and len(cache.chunks) <= 100
+        assert all(len(k) <= Encoder.LONG for k in [*cache.words, *cache.chunks] if not isinstance(k, int))
+
+
 def test_long_texts_are_cut_at_white_space():
     text = "ab cd " * 1000
     assert "".join(" " + p for p in pieces_of(text, 100)).split() == text.split()
