@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +38,29 @@ def in_cidr(ip: Column, cidr: str) -> Column:
     return ip.between(int(net.network_address), int(net.broadcast_address))
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named; aliases and filters would repeat it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ip_key(ip: Column) -> Column:
     """An address of either kind as 32 hexadecimal digits in numeric order, IPv4 as mapped; null for anything else."""
-    v4 = F.concat(F.lit("0" * 20 + "ffff"), F.lower(F.lpad(F.hex(ip_to_int(ip)), 8, "0")))
-    parts = F.split(F.lower(ip), "::")
     groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
-    left, right = groups(parts[0]), groups(F.when(F.size(parts) > 1, parts[1]).otherwise(F.lit("")))
-    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
-    every = F.concat(left, F.when(F.size(parts) > 1, zeros).otherwise(F.expr("cast(array() as array<string>)")), right)
-    good = F.contains(ip, F.lit(":")) & (F.size(every) == 8) & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(ip_to_int(ip).isNotNull(), v4).when(good, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    def filled(sides: Column, parts: Column) -> Column:
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(sides["left"]) - F.size(sides["right"]), F.lit(0)))
+        return F.concat(sides["left"], F.when(F.size(parts) > 1, zeros).otherwise(F.expr("cast(array() as array<string>)")), sides["right"])
+
+    def sides_of(parts: Column) -> Column:
+        right = groups(F.when(F.size(parts) > 1, parts[1]).otherwise(F.lit("")))
+        return held(F.struct(groups(parts[0]).alias("left"), right.alias("right")), lambda sides: filled(sides, parts))
+
+    def six(every: Column) -> Column:
+        good = (F.size(every) == 8) & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(good, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    v4 = held(ip_to_int(ip), lambda n: F.concat(F.lit("0" * 20 + "ffff"), F.lower(F.lpad(F.hex(n), 8, "0"))))
+    return F.when(F.contains(ip, F.lit(":")), held(held(F.split(F.lower(ip), "::"), sides_of), six)).otherwise(v4)
 
 
 def key_bounds(cidr: str) -> tuple[str, str]:

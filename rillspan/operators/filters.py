@@ -253,10 +253,14 @@ def in_reserved(ip: Column, blocks: list[str] = RESERVED) -> Column:
 
 def is_reserved(address: Column) -> Column:
     """Whether an address as text, of either kind, lies in a reserved block; IPv4 is judged by its own blocks."""
-    from rillspan.functions.net import ip_key, ip_to_int, key_bounds
+    from rillspan.functions.net import held, ip_key, key_bounds
 
-    six: Column = F.lit(False)
-    for lo, hi in map(key_bounds, RESERVED_6):
-        six = six | ip_key(address).between(lo, hi)
-    number = ip_to_int(address)
-    return F.coalesce(F.when(number.isNotNull(), in_reserved(number)).otherwise(six), F.lit(False))
+    def inside(key: Column, blocks: list[str]) -> Column:
+        cond: Column = F.lit(False)
+        for lo, hi in map(key_bounds, blocks):
+            cond = cond | key.between(lo, hi)
+        return cond
+
+    judged = lambda a: held(ip_key(a), lambda key: F.when(F.contains(a, F.lit(":")), inside(key, RESERVED_6)).otherwise(inside(key, RESERVED)))
+    found = held(address, judged)
+    return F.coalesce(found, F.lit(False))
