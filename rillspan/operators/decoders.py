@@ -8,6 +8,7 @@ pairs what belongs together with joins and windows.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,8 +102,8 @@ def http_pairs(packets: DataFrame, ports: tuple[int, ...] = HTTP_PORTS, **option
     blobs = with_connection(tcp.connections(on_ports(packets, 6, *ports), **options)).filter("data is not null").withColumn("m", message)
     ends = ["client_ip", "client_port", "server_ip", "server_port"]
     asked = (F.col("direction") == "cs") & (F.col("m.kind") == "request")
-    paired = correlate.pair_next(blobs, "conn", "blob_no", F.coalesce(asked, F.lit(False)), ["m", "blob_start_us"])
-    return paired.join(blobs.select("conn", *ends).distinct(), "conn")
+    paired = correlate.pair_next(blobs, "conn", "blob_no", F.coalesce(asked, F.lit(False)), ["m", "blob_start_us", *ends])
+    return paired.drop(*(f"next_{c}" for c in ends))
 
 
 def header(message: str, name: str) -> Column:
@@ -285,58 +286,64 @@ def dhcp_leases(packets: DataFrame) -> DataFrame:
 def smb_messages(packets: DataFrame, **options) -> DataFrame:
     """Messages of SMB connections: header, file name and number, data written."""
     blobs = with_connection(tcp.connections(on_ports(packets, 6, *SMB_PORTS), **options)).filter("data is not null")
-    names = ["conn", "client_ip", "server_ip", "blob_no", "message_no", "command", "status", "is_response", "tid", "uid", "mid", "file", "fid", "write_at", "written"]
+    kinds = "conn string, client_ip string, server_ip string, blob_no int, message_no int, command int, status long, is_response boolean, tid int, uid int, mid int, file string, fid int, write_at long, written binary"
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(n, types[kind]) for n, kind in (x.split() for x in kinds.split(", "))])
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for b in pdf.itertuples(index=False):
-                for n, raw in enumerate(protocols.smb_messages(bytes(b.data))):
+            for *head, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for n, raw in enumerate(protocols.smb_messages(data)):
                     try:
                         m = protocols.smb(raw)
                         wrote = protocols.smb_write(m)
-                        rows.append((b.conn, b.client_ip, b.server_ip, b.blob_no, n, *(m[k] for k in ("command", "status", "is_response", "tid", "uid", "mid")),
-                                     protocols.smb_filename(m), protocols.smb_fid(m), *(wrote or (None, None))))
+                        rows.append((*head, n, m["command"], m["status"], m["is_response"], m["tid"], m["uid"], m["mid"], protocols.smb_filename(m), protocols.smb_fid(m), *(wrote or (None, None))))
                     except (ValueError, IndexError, protocols.struct.error):
                         continue
-            yield pd.DataFrame(rows, columns=names).astype({"fid": "Int32", "write_at": "Int64"})
+            columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, schema.types, strict=True)], schema=schema)
 
-    kinds = "conn string, client_ip string, server_ip string, blob_no int, message_no int, command int, status long, is_response boolean, tid int, uid int, mid int, file string, fid int, write_at long, written binary"
-    return blobs.select("conn", "client_ip", "server_ip", "blob_no", "data").mapInPandas(run, kinds)
+    return blobs.select("conn", "client_ip", "server_ip", "blob_no", "data").mapInArrow(run, kinds)
 
 
 def smb_pairs(messages: DataFrame) -> DataFrame:
-    """Requests with their response by connection and message number; without one the status is -1."""
-    asked = messages.filter("not is_response").drop("is_response", "status")
-    got = messages.filter("is_response").select("conn", "mid", "status", F.col("fid").alias("got_fid"))
-    return correlate.pair_left(asked, got, ["conn", "mid"])
+    """Requests with their response by connection and message number; without one the status is -1.
+
+    A request meets every response of its number, by a window: messages are read once.
+    """
+    answers = F.collect_list(F.when(F.col("is_response"), F.struct("status", F.col("fid").alias("got_fid")))).over(Window.partitionBy("conn", "mid"))
+    asked = messages.withColumn("_r", answers).filter("not is_response")
+    each = asked.select(*(c for c in messages.columns if c not in ("is_response", "status")), F.explode_outer("_r").alias("_r"))
+    return each.select(*each.drop("_r").columns, F.coalesce("_r.status", F.lit(-1)).alias("status"), F.col("_r.got_fid").alias("got_fid"))
+
+
+def smb_named(packets: DataFrame, **options) -> DataFrame:
+    """Requests on files with ``file_now``: a file number means the last file that was opened under it."""
+    opens = F.col("file").isNotNull()
+    pairs = smb_pairs(smb_messages(packets, **options)).filter(~opens | (F.col("status") == 0))
+    numbered = pairs.withColumn("fid", F.when(opens, F.col("got_fid")).otherwise(F.col("fid")))
+    return enrich.latest_names(numbered, ["conn"], ["blob_no", "message_no"], "fid", "file").filter("file_now is not null")
 
 
 def smb_files(packets: DataFrame, **options) -> DataFrame:
     """Reads, writes and bytes of every file that was opened, with its access mode."""
-    pairs = smb_pairs(smb_messages(packets, **options))
-    opened = pairs.filter("file is not null and status = 0").withColumn("fid", F.col("got_fid"))
-    # a file number means the last file that was opened under it
-    named = enrich.latest_names(opened.unionByName(pairs.filter("file is null")), ["conn"], ["blob_no", "message_no"], "fid", "file").filter("file_now is not null")
     return enrich.file_activity(
-        named, ["conn", "client_ip", "server_ip", "file_now"], F.col("command") == 0x2E, F.col("command") == 0x2F, F.coalesce(F.length("written"), F.lit(0))
+        smb_named(packets, **options), ["conn", "client_ip", "server_ip", "file_now"], F.col("command") == 0x2E, F.col("command") == 0x2F, F.coalesce(F.length("written"), F.lit(0))
     ).withColumnRenamed("file_now", "file")
 
 
 def smb_uploads(packets: DataFrame, **options) -> DataFrame:
     """Files as they were written, by offset."""
-    pairs = smb_pairs(smb_messages(packets, **options))
-    opened = pairs.filter("file is not null and status = 0").withColumn("fid", F.col("got_fid"))
-    named = enrich.latest_names(opened.unionByName(pairs.filter("file is null")), ["conn"], ["blob_no", "message_no"], "fid", "file")
-    parts = named.filter("file_now is not null and written is not null").select("conn", F.col("file_now").alias("file"), F.col("write_at").alias("first"), F.col("written").alias("body"))
+    parts = smb_named(packets, **options).filter("written is not null").select("conn", F.col("file_now").alias("file"), F.col("write_at").alias("first"), F.col("written").alias("body"))
     return partial_bodies(parts, ["conn", "file"]).withColumn("md5", F.md5("body"))
 
 
 def psexec_sessions(packets: DataFrame, pipe: str = "(?i)psexec", **options) -> DataFrame:
     """Sessions that open a service's pipe: messages and bytes written through it per direction."""
     m = smb_messages(packets, **options)
-    pipes = m.filter(F.col("file").rlike(pipe)).select("conn").distinct()
-    return m.join(pipes, "conn", "left_semi").groupBy("conn", "client_ip", "server_ip", "uid").agg(
+    opened = F.max(F.coalesce(F.col("file").rlike(pipe), F.lit(False))).over(Window.partitionBy("conn"))
+    return m.withColumn("_opened", opened).filter("_opened").groupBy("conn", "client_ip", "server_ip", "uid").agg(
         F.count_if(~F.col("is_response")).alias("requests"), F.count_if("is_response").alias("responses"),
         F.sum(F.coalesce(F.length("written"), F.lit(0))).alias("bytes_written"),
     )

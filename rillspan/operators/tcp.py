@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIN, SYN, RST, ACK = 1, 2, 4, 16
@@ -14,6 +15,9 @@ BLOBS = (
     "conn_key string, conn_no int, client_ip string, client_port int, server_ip string, server_port int, proto int, start_us long, end_us long,"
     " state string, blob_no int, direction string, blob_start_us long, blob_end_us long, data binary, has_gap boolean, frames array<long>"
 )
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+_ARROW = pa.schema([(n, _KINDS[kind]) for n, kind in (c.split() for c in BLOBS.split(", "))])
+Packet = namedtuple("Packet", "frame_no ts_us sip sport dip dport proto flags seq ack payload")
 
 
 @dataclass
@@ -56,12 +60,13 @@ def laid(segments: dict[int, list[bytes]], base: int, gaps: str = "pad", fill: b
 
 
 class Tracker:
-    """Packets of one endpoint pair, in time order, to connections and blobs."""
+    """Packets of one endpoint pair, in time order, to connections and blobs; ``taken`` counts connections whose rows were given out."""
 
     def __init__(self, idle_us: int, ignore_handshake: bool, gaps: str, max_blobs: int | None = None):
         self.idle_us, self.ignore_handshake, self.gaps, self.max_blobs = idle_us, ignore_handshake, gaps, max_blobs
         self.done: list[dict] = []
         self.now: dict | None = None
+        self.taken = 0
 
     def _open(self, p, state: str) -> None:
         client, server = (p.sip, p.sport), (p.dip, p.dport)
@@ -127,14 +132,17 @@ class Tracker:
             self.close("closed" if flags & FIN else "reset")
 
     def rows(self, key: str) -> list[tuple]:
+        """Rows of the connections that were closed since the last call."""
         out = []
-        for n, c in enumerate(self.done):
+        for n, c in enumerate(self.done, self.taken):
             head = (key, n, *c["client"], *c["server"], c["proto"], c["start"], c["end"], c["state"])
             for b, blob in enumerate(c["blobs"]):
                 data, gap = laid(blob.segments, next(iter(blob.segments)) - (1 << 31), self.gaps)
                 out.append((*head, b, blob.direction, blob.start_us, blob.end_us, data, gap, blob.frames))
             if not c["blobs"]:
                 out.append((*head, None, None, None, None, None, False, []))
+        self.taken += len(self.done)
+        self.done = []
         return out
 
 
@@ -146,26 +154,56 @@ def whole(packets: DataFrame, gap_s: float = 30) -> DataFrame:
     """
     if not {"more_fragments", "ip_id"} <= set(packets.columns):
         return packets
-    cut = F.coalesce(F.col("more_fragments") | (F.col("frag_offset") > 0), F.lit(False))
+    columns = packets.columns
     key = ["file", "sip", "dip", "proto", "ip_id"]
-    w = Window.partitionBy(*key).orderBy("ts_us", "frame_no")
-    far = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) > gap_s * 1e6, F.lit(False))
-    parts = packets.filter(cut).withColumn("_spell", F.sum(far.cast("int")).over(w)).dropDuplicates([*key, "_spell", "frag_offset"])
-    rest = [c for c in packets.columns if c not in (*key, "payload", "frag_offset", "more_fragments")]
-    joined = parts.groupBy(*key, "_spell").agg(
-        F.min_by(F.struct(*rest), "frag_offset").alias("_h"), F.array_sort(F.collect_list(F.struct("frag_offset", "payload", "more_fragments"))).alias("_s")
-    )
+    cut = F.coalesce(F.col("more_fragments") | (F.col("frag_offset") > 0), F.lit(False))
+    marked = packets.withColumn("_cut", F.when(cut, F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key))))
+    # one pass: a branch for fragments would read and parse all frames a second time
+    spread = marked.repartition(F.coalesce("_cut", F.concat_ws("|", *(c for c in ("sip", "sport", "dip", "dport") if c in columns))))
+    placed = spread.sortWithinPartitions("_cut", *(F.when(F.col("_cut").isNotNull(), F.col(c)) for c in ("ts_us", "frame_no")))
+
+    def run(batches):
+        name, parts = None, []
+        for batch in batches:
+            schema, keys = batch.schema.remove(batch.schema.get_field_index("_cut")), batch.column("_cut")
+            rows = batch.select(columns)
+            if keys.null_count == len(keys):
+                yield rows
+                continue
+            if keys.null_count:
+                yield rows.filter(keys.is_null())
+            made = []
+            for k, row in zip(keys.drop_null().to_pylist(), rows.filter(keys.is_valid()).to_pylist(), strict=True):
+                if parts and (k != name or row["ts_us"] - parts[-1]["ts_us"] > gap_s * 1e6):
+                    made += _joined(parts)
+                    parts = []
+                name = k
+                parts.append(row)
+            if made:
+                yield pa.RecordBatch.from_pylist(made, schema=schema)
+        if parts and (made := _joined(parts)):
+            yield pa.RecordBatch.from_pylist(made, schema=schema)
+
+    return placed.mapInArrow(run, packets.schema)
+
+
+def _joined(parts: list[dict]) -> list[dict]:
+    """The packet that fragments make, none where a part is missing; of parts at one place the first counts."""
+    at: dict[int, dict] = {}
+    for p in parts:
+        at.setdefault(p["frag_offset"], p)
+    first, *rest = (at[k] for k in sorted(at))
+    if not rest or first["frag_offset"] or rest[-1]["more_fragments"]:
+        return []
     # the transport header of the first fragment is parsed already; it is as long as what its data lacks
-    head = F.when(F.size("_s") > 1, F.col("_s")[1]["frag_offset"] - F.length(F.col("_s")[0]["payload"]))
-    ends = F.aggregate(
-        F.slice("_s", 2, F.size("_s")), F.col("_s")[1]["frag_offset"].cast("long"),
-        lambda a, x: F.when(a == x["frag_offset"], a + F.length(x["payload"])).otherwise(F.lit(-1).cast("long")),
-    )
-    fits = F.when(F.col("proto") == 17, head == 8).when(F.col("proto") == 6, head.between(20, 60)).otherwise(head == 0)
-    complete = joined.filter((F.size("_s") > 1) & (F.col("_s")[0]["frag_offset"] == 0) & fits & ~F.element_at("_s", -1)["more_fragments"]).filter(ends >= 0)
-    data = F.aggregate("_s", F.lit(b""), lambda a, x: F.concat(a, x["payload"]))
-    made = complete.select(*key, "_h.*", data.alias("payload"), F.lit(0).alias("frag_offset"), F.lit(False).alias("more_fragments"))
-    return packets.filter(~cut).unionByName(made.select(packets.columns))
+    head, end = rest[0]["frag_offset"] - len(first["payload"]), rest[0]["frag_offset"]
+    if not (head == 8 if first["proto"] == 17 else 20 <= head <= 60 if first["proto"] == 6 else head == 0):
+        return []
+    for p in rest:
+        if p["frag_offset"] != end:
+            return []
+        end += len(p["payload"])
+    return [first | {"payload": b"".join(p["payload"] for p in (first, *rest)), "frag_offset": 0, "more_fragments": False}]
 
 
 def connections(packets: DataFrame, idle_tcp_s: float = 300, idle_udp_s: float = 60, ignore_handshake: bool = False, gaps: str = "pad", max_blobs: int | None = None) -> DataFrame:
@@ -174,37 +212,62 @@ def connections(packets: DataFrame, idle_tcp_s: float = 300, idle_udp_s: float =
     Fragments are put together first.  Packets meet by their unordered
     endpoints, so both directions are together.  A UDP exchange's server is the
     side with the lower port.
-    Idle gaps split an endpoint pair's traffic before it is grouped, so a group
-    is one busy spell, not all that two machines ever said.
+    A task reads pair after pair in time order and gives a connection out once it
+    is closed, so it holds one connection, not all that two machines ever said;
+    idle gaps start a new spell of the pair.
     """
     a, b = F.concat_ws(":", "sip", "sport"), F.concat_ws(":", "dip", "dport")
     keyed = whole(packets.filter(F.col("proto").isin(6, 17))).withColumn(
         "_pair", F.concat_ws("|", F.least(a, b), F.greatest(a, b), "proto", "file")
     )
-    pair = Window.partitionBy("_pair")
-    order = pair.orderBy("ts_us", "frame_no")
-    idle = F.when(F.col("proto") == 17, F.lit(idle_udp_s)).otherwise(F.lit(idle_tcp_s)) * 1e6
-    spell = F.sum(F.when(F.col("ts_us") - F.lag("ts_us").over(order) > idle, 1).otherwise(0)).over(order)
-    keyed = keyed.withColumn("_spell", spell).withColumn("_more", F.max("_spell").over(pair) > F.col("_spell"))
-    keyed = keyed.withColumn("conn_key", F.concat_ws("|", "_pair", "_spell"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "frame_no"])
-        udp = int(pdf["proto"].iloc[0]) == 17
-        tracker = Tracker(int(1e6 * (idle_udp_s if udp else idle_tcp_s)), ignore_handshake, gaps, max_blobs or (2 if udp else None))
-        for p in pdf.itertuples(index=False):
-            tracker.packet(p)
-        tracker.close("timeout" if bool(pdf["_more"].iloc[0]) else None)
-        names = [c.split()[0] for c in BLOBS.split(", ")]
-        out = pd.DataFrame(tracker.rows(pdf["conn_key"].iloc[0]), columns=names)
-        for c in ("blob_no",):
-            out[c] = out[c].astype("Int32")
-        for c in ("blob_start_us", "blob_end_us"):
-            out[c] = out[c].astype("Int64")
-        return out
 
-    columns = ["conn_key", "frame_no", "ts_us", "sip", "sport", "dip", "dport", "proto", "flags", "seq", "ack", "payload", "_more"]
-    return keyed.select(columns).groupBy("conn_key").applyInPandas(run, BLOBS)
+    def run(batches):
+        """Packets come pair by pair in time order, so one connection at a time is open."""
+        pair = tracker = None
+        spell, last, idle, rows, held = 0, 0, 0, [], 0
+
+        def ended(state: str | None) -> int:
+            tracker.close(state)
+            return take()
+
+        def take() -> int:
+            new = tracker.rows(f"{pair}|{spell}")
+            rows.extend(new)
+            return sum(len(r[14] or b"") + 500 for r in new)
+
+        def begin(udp: bool) -> Tracker:
+            return Tracker(idle, ignore_handshake, gaps, max_blobs or (2 if udp else None))
+
+        for batch in batches:
+            for key, *fields in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = Packet._make(fields)
+                if key != pair:
+                    if tracker:
+                        held += ended(None)
+                    pair, spell, udp = key, 0, p.proto == 17
+                    idle = int(1e6 * (idle_udp_s if udp else idle_tcp_s))
+                    tracker = begin(udp)
+                elif p.ts_us - last > idle:
+                    held += ended("timeout")
+                    spell, tracker = spell + 1, begin(udp)
+                last = p.ts_us
+                tracker.packet(p)
+                if tracker.done:
+                    held += take()
+                if held > 1 << 23:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        if tracker:
+            ended(None)
+        if rows:
+            yield _batch(rows)
+
+    placed = keyed.select("_pair", *Packet._fields).repartition("_pair").sortWithinPartitions("_pair", "ts_us", "frame_no")
+    return placed.mapInArrow(run, BLOBS)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
 
 def connection_records(blobs: DataFrame) -> DataFrame:
