@@ -94,17 +94,29 @@ def as_of(df: DataFrame, key: list[str], order: list[str], state: Column, name:
     return df.withColumn(name, F.last(state, ignorenulls=True).over(w))
 
 
+def with_announcements(control: DataFrame, data: DataFrame) -> DataFrame:
+    """Rows of both (``_is_data`` tells which) with ``control_conn``: for data the connection that last announced its endpoint, for announcements their own.
+
+    One shuffle by endpoint and a running value: endpoints that are announced
+    again and again are not joined with all that they ever carried.
+    """
+    said = control.withColumns({"control_conn": F.col("conn"), "_is_data": F.lit(0)}).drop("conn")
+    both = said.unionByName(data.withColumn("_is_data", F.lit(1)), allowMissingColumns=True)
+    known = (F.col("_is_data") == 0) & F.col("ip").isNotNull() & F.col("port").isNotNull() & F.col("ts").isNotNull()
+    alone = F.when(F.col("ip").isNull() | F.col("port").isNull(), F.xxhash64(F.to_json(F.struct("control_conn")), *(["data_conn"] if "data_conn" in data.columns else [])))
+    upto = Window.partitionBy("ip", "port", alone).orderBy("ts", "_is_data").rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.last(F.when(known, F.col("control_conn")), ignorenulls=True).over(upto)
+    return both.withColumn("control_conn", F.when(F.col("_is_data") == 0, F.col("control_conn")).otherwise(latest))
+
+
 def announced_channel(control: DataFrame, data: DataFrame) -> DataFrame:
     """Data connections with the control connection that last announced their endpoint.
 
     ``control`` has ``conn, ip, port, ts`` (one row per announcement), ``data``
     has ``data_conn, ip, port, ts``; unannounced data connections stay.
     """
-    c = control.select("ip", "port", F.col("conn").alias("control_conn"), F.col("ts").alias("_at"))
-    joined = data.join(c, ["ip", "port"], "left")
-    ok = joined.withColumn("control_conn", F.when(F.col("_at") <= F.col("ts"), F.col("control_conn")))
-    when = F.when(F.col("control_conn").isNotNull(), F.col("_at"))
-    return ok.groupBy("data_conn", "ip", "port", "ts").agg(F.max_by("control_conn", when).alias("control_conn"))
+    found = with_announcements(control.select("conn", "ip", "port", "ts"), data.select("data_conn", "ip", "port", "ts")).filter("_is_data = 1")
+    return found.select("data_conn", "ip", "port", "ts", "control_conn").distinct()
 
 
 def server_port_streams(requests: DataFrame, packets: DataFrame) -> DataFrame:

@@ -237,23 +237,43 @@ def ftp_transfers(packets: DataFrame, **options) -> DataFrame:
     """Transfers of control connections with the data connection that carried each."""
     control = with_connection(tcp.connections(on_ports(packets, 6, *FTP_PORTS), **options)).filter("data is not null")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = []
-        for b in pdf.sort_values("blob_no").itertuples(index=False):
-            lines += [(b.direction, x, b.blob_start_us) for x in bytes(b.data).decode("latin-1").splitlines()]
-        rows = [(pdf["conn"].iloc[0], n, *(t[k] for k in ("command", "file", "path", "user", "password", "ip", "port", "at"))) for n, t in enumerate(protocols.ftp_fold(lines))]
-        return pd.DataFrame(rows, columns=["conn", "transfer_no", "command", "file", "path", "user", "password", "ip", "port", "at"]).astype({"port": "Int32", "at": "Int64"})
+    names = ["conn", "transfer_no", "command", "file", "path", "user", "password", "ip", "port", "at"]
+    kinds = [pa.string(), pa.int32(), *[pa.string()] * 6, pa.int32(), pa.int64()]
+
+    def fold(batches):
+        """Blobs come connection by connection, in order."""
+        now, lines = None, []
+
+        def told() -> list[tuple]:
+            return [(now, n, *(t[k] for k in names[2:])) for n, t in enumerate(protocols.ftp_fold(lines))]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            rows = []
+            for conn, side, data, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if conn != now:
+                    rows += told()
+                    now, lines = conn, []
+                lines += [(side, x, at) for x in data.decode("latin-1").splitlines()]
+            if rows:
+                yield batch_of(rows)
+        if rows := told():
+            yield batch_of(rows)
 
     schema = "conn string, transfer_no int, command string, file string, path string, user string, password string, ip string, port int, at long"
-    done = control.select("conn", "blob_no", "direction", "data", "blob_start_us").groupBy("conn").applyInPandas(fold, schema)
+    said = control.select("conn", "direction", "data", "blob_start_us", "blob_no").repartition("conn").sortWithinPartitions("conn", "blob_no")
+    done = said.select("conn", "direction", "data", "blob_start_us").mapInArrow(fold, schema)
     data = with_connection(tcp.connections(packets.filter(~filters.either_port(F.col("sport"), F.col("dport"), *FTP_PORTS)), **options))
     whole = data.filter("data is not null").groupBy(F.col("conn").alias("data_conn"), F.col("server_ip").alias("ip"), F.col("server_port").alias("port"), F.col("start_us").alias("ts")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blob_no", F.decode("data", "ISO-8859-1").alias("d")))), lambda x: x["d"]), "").alias("body")
     )
-    announced = done.select(F.struct("conn", "transfer_no").alias("conn"), "ip", "port", F.col("at").alias("ts"))
-    carried = correlate.announced_channel(announced, whole.select("data_conn", "ip", "port", "ts")).join(whole.select("data_conn", "body"), "data_conn")
-    carried = carried.select(F.col("control_conn.conn").alias("conn"), F.col("control_conn.transfer_no").alias("transfer_no"), "body")
-    return done.join(carried, ["conn", "transfer_no"], "left")
+    announced = done.select(F.struct("conn", "transfer_no").alias("conn"), "ip", "port", F.col("at").alias("ts"), F.struct(*done.columns).alias("_t"))
+    met = correlate.with_announcements(announced, whole).filter("control_conn is not null").groupBy("control_conn").agg(
+        F.max("_t").alias("_t"), F.collect_list(F.when(F.col("_is_data") == 1, F.col("body"))).alias("_bodies")
+    )
+    return met.select("_t.*", F.explode_outer("_bodies").alias("body"))
 
 
 def tftp_files(packets: DataFrame) -> DataFrame:

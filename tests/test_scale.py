@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from rillspan.operators import tcp
+from pyspark.sql import functions as F
+
+from rillspan.operators import correlate, tcp
+from rillspan.plans import traffic
 from rillspan.plans.queries import QUERIES
+from rillspan.sources import capture, container
 from tests.test_queries import SF
 
 
@@ -38,3 +42,27 @@ def test_connections_are_followed_as_a_stream(spark):
     assert steps(found)["FlatMapGroupsInPandas"] == 0
     got = sorted((int(r.client_ip[1:]), r.conn_key.rsplit("|", 1)[1], r.conn_no, bytes(r.data), r.state) for r in found.collect())
     assert got == [(p, k, 0, d, s) for p in range(40) for k, d, s in (("0", b"\0\1", "timeout"), ("1", b"\2\3", "timeout"), ("2", b"\4", "established"))]
+
+
+def test_announcements_are_not_joined_with_all_of_their_endpoint(spark):
+    """An endpoint announced n times that carried n connections made n squared rows."""
+    n = 3000
+    control = spark.range(n).selectExpr("id AS conn", "'s' AS ip", "5000 AS port", "id * 10 AS ts")
+    data = spark.range(n).selectExpr("id AS data_conn", "'s' AS ip", "5000 AS port", "id * 10 + 5 AS ts")
+    found = correlate.announced_channel(control, data)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.filter("data_conn = control_conn").count() == n == found.count()
+    odd = spark.createDataFrame([(1, None, 5000, 7), (2, "s", 5000, None), (3, "t", 1, 9)], "data_conn long, ip string, port int, ts long")
+    assert {r.data_conn: r.control_conn for r in correlate.announced_channel(control, odd).collect()} == {1: None, 2: None, 3: None}
+
+
+def test_captures_come_in_parts(spark):
+    """A file that is cut has the same frames, numbers and connections as a whole one."""
+    frames = traffic.http_frames(spark, SF).withColumn("file", F.lit("/c/1.cap"))
+    cut, one = capture.as_captures(frames, 20_000), capture.as_captures(frames)
+    assert one.count() == 1 < cut.count() and cut.select("path").distinct().count() == 1
+    assert max(len(r.content) for r in cut.collect()) < 24_000
+    rows = lambda files: sorted((r.file, r.frame_no, r.ts_us, bytes(r.raw)) for r in capture.frames_of(files).collect())
+    assert rows(cut) == rows(one) and [r[1] for r in rows(cut)] == list(range(frames.count()))
+    whole = lambda files: [bytes(r.content) for r in container.build(files).collect()]
+    assert whole(cut) == whole(one)
